@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash
+from . import decontam, mixing, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
+    "op5_decontamination": decontam.op5_decontamination,
+    "op8_substring": substring.op8_substring,
     "op10_simhash": simhash.op10_simhash,
 }
-SQL: dict[str, str] = {"op1_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op8_substring": substring.SQL}
