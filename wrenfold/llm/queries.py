@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, simhash, substring
+from . import decontam, mixing, simhash, substring, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op5_decontamination": decontam.op5_decontamination,
+    "op7_warc": warc.op7_warc,
     "op8_substring": substring.op8_substring,
+    "op9_urlfilter": urlfilter.op9_urlfilter,
     "op10_simhash": simhash.op10_simhash,
 }
-SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op8_substring": substring.SQL}
+SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op7_warc": warc.SQL, "op8_substring": substring.SQL, "op9_urlfilter": urlfilter.SQL}
