@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Set while a scratch table is written: the shuffle files of that job go when it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -32,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def plus(df: DataFrame, *names: str, **more: str) -> StructType:
+    """The schema of df's columns `names` (all, if none are given) and more columns: name=type."""
+    out = StructType([df.schema[n] for n in names or df.columns])
+    for name, kind in more.items():
+        out = out.add(name, kind)
+    return out
+
+
 class Scratch:
     """Tables of one run of an operator. A table cuts lineage, so a lost executor costs no more than its last step."""
 

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, simhash, substring, urlfilter, warc
+from . import decontam, html_text, langid, mixing, simhash, substring, toxicity, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_html_text": html_text.op2_html_text,
+    "op3_langid": langid.op3_langid,
     "op5_decontamination": decontam.op5_decontamination,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_warc": warc.op7_warc,
     "op8_substring": substring.op8_substring,
     "op9_urlfilter": urlfilter.op9_urlfilter,

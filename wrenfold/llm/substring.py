@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, table, window_hashes
+from .common import Scratch, Words, plus, table, window_hashes
 
 N_WORDS = 13
 _LOWEST = 8
@@ -147,8 +147,7 @@ def cut(docs: DataFrame, hits: DataFrame, n: int = N_WORDS, id_col: str = "doc_i
 
     hits = hits.select(F.col("id").alias("_hit_id"), F.col("hits").alias("_hits"))
     rows = docs.join(hits, docs[id_col] == hits["_hit_id"], "left").select(*[docs[c] for c in names], "_hits")
-    schema = docs.select(*names).schema.add("n_words", "long").add("n_removed", "long")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, plus(docs, *names, n_words="long", n_removed="long"))
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
