@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from .common import plus, table
 from .langid import held_out
 
-#: Labelled rows that are learned from, of each label, at most about this many; stems that the model holds at most.
-SAMPLE, MOST_STEMS = 4000, 2000
-PRECISION, LEAST_COVER = 0.9, 2
-#: A learned stem must be this many times likelier than chance in toxic texts to count in full.
-_STEM = (4, 5, 6)
+#: Labelled rows that are learned from, by label, at most about this many; stems that the model holds at most.
+SAMPLE, MOST_STEMS = {1: 4000, 0: 12000}, 2000
+PRECISION, LEAST_COVER, PURE = 0.9, 2, 24
+#: After the first, so many turns of cover, for stems that tell at least this part of the toxic texts again.
+TURNS, AGAIN = 4, 0.01
+_STEM = (3, 4, 5, 6, 7, 8)
 
 INSULTS = frozenset("idiot idiots idiotic moron morons moronic stupid imbecile loser losers scum trash worthless pathetic disgusting clown vermin filth scumbag dumb dimwit bastard".split())
 THREATS = frozenset("kill killing murder hurt destroy strangle stab shoot burn beat crush slaughter exterminate".split())
@@ -113,7 +114,7 @@ def grammar() -> Transducer:
 
 
 def units(text: str) -> set[str]:
-    """The words of a text (as =word) and their stems of 4 to 6 letters."""
+    """The words of a text (as =word) and their stems of 3 to 8 letters."""
     words = {w for w in (m[0] for m in _TOKENS.finditer(text.lower())) if len(w) >= 3 and not w.isdigit()}
     return {f"={w}" for w in words} | {w[:n] for w in words for n in _STEM if len(w) > n}
 
@@ -181,25 +182,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
     return [float(v) for v in w]
 
 
-def cover(toxic: list[list[str]], precision: dict[str, float]) -> dict[str, float]:
-    """Stems, best first, that each tell at least LEAST_COVER toxic texts that those before don't."""
-    left, own = {i for i, x in enumerate(toxic) if x}, defaultdict(set)
-    for i, x in enumerate(toxic):
-        for u in x:
-            own[u].add(i)
-    out: dict[str, float] = {}
-    gain = {u: len(v) for u, v in own.items()}
+def _cover(own: dict[str, set[int]], left: set[int], precision: dict[str, float], least: float) -> list[str]:
+    """Stems, best first, that each tell at least `least` more of the texts `left`."""
+    out, worth = [], lambda u, n: n * precision[u] ** PURE
+    gain = {u: worth(u, len(v & left)) for u, v in own.items()}
     while left and gain and len(out) < MOST_STEMS:
         while True:  # gains only fall, so the first whose gain is up to date is the best
             u = max(gain, key=lambda k: (gain[k], k[0] == "=", -len(k), k))
-            now = len(own[u] & left)
+            now = worth(u, n := len(own[u] & left))
             if now == gain[u]:
                 break
             gain[u] = now
-        if gain.pop(u) < LEAST_COVER:
+        if n < least:
             break
-        out[u] = precision[u]
-        left -= own[u]
+        del gain[u]
+        out.append(u)
+        left = left - own[u]
+    return out
+
+
+def cover(toxic: list[list[str]], precision: dict[str, float]) -> dict[str, float]:
+    """Stems that together tell the toxic texts, and in further turns stems that tell many of them again."""
+    own: dict[str, set[int]] = defaultdict(set)
+    for i, x in enumerate(toxic):
+        for u in x:
+            own[u].add(i)
+    out: dict[str, float] = {}
+    for turn in range(TURNS):
+        for u in _cover(own, {i for i, x in enumerate(toxic) if x}, precision, max(LEAST_COVER, turn and AGAIN * len(toxic))):
+            out[u] = precision[u]
+        # a word with a chosen stem, or a stem of a chosen word, tells nothing new
+        own = {u: v for u, v in own.items() if u not in out and not any(u.lstrip("=").startswith(k.lstrip("=")) or k.lstrip("=").startswith(u.lstrip("=")) for k in out)}
     return out
 
 
@@ -209,7 +222,7 @@ def fit(rows: DataFrame) -> Model:
     rows = rows.where("t IS NOT NULL AND y IN (0, 1)")
     n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chance = F.pmod(F.xxhash64("t", F.lit("toxic")), F.lit(1 << 30)) / float(1 << 30)
-    part = rows.where(chance < F.when(F.col("y") == 1, SAMPLE / max(1, n.get(1, 0))).otherwise(SAMPLE / max(1, n.get(0, 0))))
+    part = rows.where(chance < F.when(F.col("y") == 1, SAMPLE[1] / max(1, n.get(1, 0))).otherwise(SAMPLE[0] / max(1, n.get(0, 0))))
     # equal texts count once
     part = part.groupBy(F.sha2("t", 256).alias("k")).agg(F.first("t").alias("t"), F.max("y").alias("y"))
 
