@@ -78,6 +78,112 @@ def clusters(scratch: Scratch, prints: DataFrame, id_col: str = "doc_id") -> Dat
     return prints.join(of, "fp")
 
 
+# --- near duplicates at a shingle similarity ---------------------------------------------------------------------------
+
+#: Shingle length, similarity, bands and values in a band of the MinHash signature, hashes kept of a text, rounds.
+N, SIMILARITY, BANDS, BAND, KEPT, ROUNDS = 5, 0.8, 12, 5, 256, 5
+_FACTORS = mix(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def sketch(h: np.ndarray) -> tuple[list[int], bytes]:
+    """The band hashes and the KEPT smallest 32-bit hashes of distinct shingle hashes h; none give none."""
+    if not len(h):
+        return [], b""
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 2048):
+        np.minimum(least, (h[None, at : at + 2048] * _FACTORS[:, None]).min(axis=1), out=least)
+    bands = window_hashes_rows(least.reshape(BANDS, BAND))
+    return bands.view(np.int64).tolist(), np.unique((h >> np.uint64(32)).astype("<u4"))[:KEPT].tobytes()
+
+
+def window_hashes_rows(rows: np.ndarray) -> np.ndarray:
+    """One hash of each row; rows in different places differ."""
+    return np.array([window_hashes(r, len(r), i)[0] for i, r in enumerate(rows)], np.uint64)
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """The Jaccard similarity of two texts' shingles by their sketches: exact for up to KEPT shingles."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    u = np.union1d(x, y)
+    if max(len(x), len(y)) >= KEPT:
+        u = u[:KEPT]
+    return float(np.isin(u, np.intersect1d(x, y, assume_unique=True)).sum()) / len(u) if len(u) else 1.0
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k: hash of id and text, id, node: hash of the words, fp, bands, kept) of every whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, rows = Words(b.column(2), lower=True), []
+            for a, z in zip(words.first[:-1], words.first[1:], strict=True):
+                w = words.hash[a:z]
+                h = window_hashes(w, min(N, len(w)), N) if len(w) else np.zeros(0, np.uint64)
+                whole = window_hashes(w, len(w), 7)[:1] if len(w) else np.zeros(1, np.uint64)
+                rows.append((int(whole.view(np.int64)[0]), majority(h), *sketch(np.unique(h))))
+            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["k", "id", "node", "fp", "bands", "kept"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.xxhash64(id_col, text).alias("k"), F.col(id_col).cast("long").alias("id"), text.alias("t"))
+    return rows.mapInArrow(run, "k long, id long, node long, fp long, bands array<long>, kept binary")
+
+
+def _verified(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """Of edges (a, b) those whose texts are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [similarity(x, y) >= SIMILARITY for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    both = edges.join(kept.select(F.col("node").alias("a"), F.col("kept").alias("x")), "a").join(kept.select(F.col("node").alias("b"), F.col("kept").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k): xxhash64 of id and text of the documents that stay: of each group of near duplicates the one of smallest id.
+
+    Copies (the same words, A-Z lower-cased) are one group; texts whose sets of five-word shingles have a similarity of
+    0.8 or more are linked. Candidates are the fingerprint links of ball hashing and, as two bits of 64 reach only
+    similarities near 1, the buckets of a banded MinHash signature. Nobody meets all of a bucket: in each round every
+    member meets one member, chosen anew by a hash, of those buckets that still hold several groups. Null and empty
+    texts are copies of each other.
+    """
+    every = scratch.put(sketches(docs, id_col, text_col), "sketches")
+    lead = scratch.put(every.groupBy("node").agg(F.min(F.struct("id", "k")).alias("lead")), "lead")
+    nodes = scratch.put(every.select("node", "fp", "bands", "kept").dropDuplicates(["node"]), "nodes")
+    kept = nodes.select("node", "kept")
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("one"))
+    ends = ball_links(prints)
+    of = lambda name: prints.select(F.col("fp").alias(name), F.col("one").alias(f"{name}_node"))
+    balls = ends.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    same = nodes.join(prints, "fp").where("node != one").select(F.col("one").alias("a"), F.col("node").alias("b"))
+    links = scratch.put(_verified(balls.unionByName(same), kept), "links-0")
+    bucket = nodes.select("node", F.explode("bands").alias("bucket"))
+    crowded = bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    bucket = scratch.put(bucket.join(crowded, "bucket"), "buckets")
+    root = scratch.put(components(scratch, links, "cc-0"), "root-0")
+    for turn in range(1, ROUNDS + 1):
+        of_group = bucket.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        pivot = of_group.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket", "p")
+        tried = of_group.join(pivot, "bucket").where("root != p.root").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+        found = scratch.put(_verified(tried, kept), f"links-{turn}")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        root = scratch.put(components(scratch, links, f"cc-{turn}"), f"root-{turn}")
+    grouped = lead.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("lead").alias("lead"))
+    return grouped.select(F.col("lead.k").alias("k"))
+
+
+def deduplicated(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates; repeated rows stay once."""
+    stay = scratch.put(near_duplicates(scratch, docs, id_col, text_col), "stay")
+    keyed = docs.withColumn("_k", F.xxhash64(id_col, F.col(text_col).cast("string")))
+    return keyed.join(stay.select(F.col("k").alias("_k")), "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every document."""
     scratch = Scratch(spark, "op10")
