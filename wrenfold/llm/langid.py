@@ -2,8 +2,8 @@
 
 A text is a normalised TF-IDF vector of hashed character n-grams (2 to 4 letters, word ends marked). Each language has
 several centroids, found by spherical k-means over a bounded sample of labelled texts; the prediction is the language
-of the nearest centroid by cosine. A text farther from it than half the similarity of the language's own farthest
-training text is rejected.
+of the nearest centroid by cosine. Short texts are less similar, so a text is rejected if its similarity is under a part of
+the lowest that training texts up to its length have; texts shorter than those known are not rejected.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from .common import plus, table
 SAMPLE, LEAST_SAMPLE = 2000, 20
 DIMS = 1 << 12
 CENTROIDS, ROUNDS = 3, 12
-#: A text is rejected under this part of the lowest similarity that a training text of the language has.
-SLACK = 0.5
+#: A text is rejected under this part of the lowest similarity of training texts; lengths (powers of 2 of n-grams) that
+#: fewer training texts have reject nothing.
+SLACK, LEAST_OF_LENGTH = 0.6, 10
 UNKNOWN = "und"
 _PIECE = 1 << 18
 
@@ -77,7 +78,11 @@ class Model:
         sim = self.vectors(counts) @ self.centroids.T
         k = sim.argmax(axis=1)
         best, lang = sim[np.arange(len(k)), k], self.of[k]
-        return lang, np.clip(best.astype(np.float64), 0.0, 1.0), best < SLACK * self.least[lang]
+        return lang, np.clip(best.astype(np.float64), 0.0, 1.0), best < SLACK * self.least[length(counts)]
+
+
+def length(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(31, np.log2(1 + counts.sum(axis=1)).astype(np.int64))
 
 
 def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
@@ -116,14 +121,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = np.stack([np.frombuffer(x, "<i4") for _, x in sample]).astype(np.float32)
     names = sorted({lang for lang, _ in sample})
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    model = Model(names, idf, np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), np.zeros(len(names)))
+    model = Model(names, idf, np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), np.zeros(32))
     x, y, cs = model.vectors(counts), np.array([names.index(lang) for lang, _ in sample]), []
     for k in range(len(names)):
-        c = _kmeans(x[y == k], CENTROIDS)
-        model.least[k] = (x[y == k] @ c.T).max(axis=1).min()
-        cs.append(c)
+        cs.append(_kmeans(x[y == k], CENTROIDS))
     model.of = np.repeat(np.arange(len(names)), [len(c) for c in cs])
     model.centroids = np.concatenate(cs).astype(np.float32)
+    own, sim = length(counts), (x @ model.centroids.T).max(axis=1)
+    known = [sim[own == k].min() if (own == k).sum() >= LEAST_OF_LENGTH else 1.0 for k in range(32)]
+    lowest = np.minimum.accumulate(known)
+    model.least = np.where(lowest < 1.0, lowest, 0.0)
     return model
 
 

@@ -81,7 +81,7 @@ def clusters(scratch: Scratch, prints: DataFrame, id_col: str = "doc_id") -> Dat
 # --- near duplicates at a shingle similarity ---------------------------------------------------------------------------
 
 #: Shingle length, similarity, bands and values in a band of the MinHash signature, hashes kept of a text, rounds.
-N, SIMILARITY, BANDS, BAND, KEPT, ROUNDS = 5, 0.8, 12, 5, 256, 5
+N, SIMILARITY, BANDS, BAND, KEPT, ROUNDS = 5, 0.8, 12, 5, 1024, 5
 _FACTORS = mix(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -153,6 +153,7 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
     every = scratch.put(sketches(docs, id_col, text_col), "sketches")
     lead = scratch.put(every.groupBy("node").agg(F.min(F.struct("id", "k")).alias("lead")), "lead")
     nodes = scratch.put(every.select("node", "fp", "bands", "kept").dropDuplicates(["node"]), "nodes")
+    scratch.drop("sketches")
     kept = nodes.select("node", "kept")
     prints = nodes.groupBy("fp").agg(F.min("node").alias("one"))
     ends = ball_links(prints)
