@@ -116,6 +116,19 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches cut (without a copy) where a column's texts sum up to `most` bytes; a longer text is alone."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        _, offs = text_buffer(b.column(column)) if b.column(column).null_count == 0 else (None, np.cumsum([0, *(len(x.as_buffer()) if x.is_valid else 0 for x in b.column(column))]))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 class Words:
     """Words of a batch of texts: hash (uint64) of each, and the index of each text's first word."""
 
@@ -167,6 +180,12 @@ def window_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mix(h ^ np.uint64(seed))
 
 
+def whole_hash(words: np.ndarray, seed: int = 0) -> int:
+    """A 64-bit hash, as a signed number, of all words in order."""
+    h = (words * powers((0x8EBC6AF09C88C6E3 + 2 * seed) & _M64, len(words))[: len(words)]).sum(dtype=np.uint64)
+    return int(mix(np.array([h + np.uint64(len(words))], np.uint64)).view(np.int64)[0])
+
+
 def mask_hashes(words: np.ndarray, mask: tuple[int, ...], seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the words at the mask's offsets, from every place where the mask fits."""
     base, m = (0xA0761D6478BD642F + 2 * seed) & _M64, len(words) - max(mask)

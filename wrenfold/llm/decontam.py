@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mask_hashes, table
+from .common import Words, mask_hashes, pieces, table
 
 MASKS = ((0, 1, 3, 6, 7, 10), (0, 2, 3, 4, 8, 9), (0, 1, 2, 5, 7, 8), (0, 3, 4, 5, 6, 11))
 SPAN = 12
@@ -115,7 +115,7 @@ def overlaps(rows: DataFrame, bench: DataFrame, text_col: str = "text", item_col
 
         def run(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             s = seeds.value
-            for b in batches:
+            for b in pieces(batches, len(names) + 2):
                 words, n = Words(b.column(len(names) + 2)), len(names)
                 at, item, place = s.hits(words.hash)
                 doc = np.searchsorted(words.first, at, "right") - 1

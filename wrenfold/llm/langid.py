@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, table
+from .common import pieces, plus, table
 
 #: Labelled texts the model is fitted on: about so many in all, and at least so many of each language.
 SAMPLE, LEAST_SAMPLE = 2000, 20
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, letter = shared.value, letters()
-        for b in batches:
+        for b in pieces(batches, at):
             texts, lang, score, out = b.column(at), [UNKNOWN] * b.num_rows, [0.0] * b.num_rows, [True] * b.num_rows
             for a in range(0, b.num_rows, 256):
                 known = [(i, x) for i in range(a, min(a + 256, b.num_rows)) if m and texts[i].is_valid and (x := grams(texts[i].as_py(), letter)) is not None]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, Words, components, mix, table, text_buffer, window_hashes
+from .common import Scratch, Words, components, mix, pieces, table, text_buffer, whole_hash, window_hashes
 
 SEED = 42
 #: Shingle hashes whose bits are counted at a time.
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp: the fingerprint as a signed long) of every whole text; null and empty texts have zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             buf, offs = text_buffer(b.column(1))
             fps = [majority(shingle_hashes(buf[a:z].tobytes(), n)) for a, z in zip(offs[:-1], offs[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], [id_col, "fp"])
@@ -98,29 +98,34 @@ def sketch(h: np.ndarray) -> tuple[list[int], bytes]:
 
 def window_hashes_rows(rows: np.ndarray) -> np.ndarray:
     """One hash of each row; rows in different places differ."""
-    return np.array([window_hashes(r, len(r), i)[0] for i, r in enumerate(rows)], np.uint64)
+    return mix((rows * _FACTORS[: rows.shape[1]]).sum(axis=1, dtype=np.uint64) + np.arange(len(rows), dtype=np.uint64))
 
 
 def similarity(a: bytes, b: bytes) -> float:
     """The Jaccard similarity of two texts' shingles by their sketches: exact for up to KEPT shingles."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    u = np.union1d(x, y)
-    if max(len(x), len(y)) >= KEPT:
-        u = u[:KEPT]
-    return float(np.isin(u, np.intersect1d(x, y, assume_unique=True)).sum()) / len(u) if len(u) else 1.0
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")  # two sorted runs: a merge
+    twice = both[1:] == both[:-1]
+    n = len(both) - int(twice.sum())
+    if max(len(x), len(y)) >= KEPT and n > KEPT:  # the KEPT smallest of the union are a sample of it
+        last = both[np.flatnonzero(np.concatenate(([True], ~twice)))[KEPT - 1]]
+        return float((twice & (both[1:] <= last)).sum()) / KEPT
+    return float(twice.sum()) / n
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k: hash of id and text, id, node: hash of the words, fp, bands, kept) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 2):
             words, rows = Words(b.column(2), lower=True), []
             for a, z in zip(words.first[:-1], words.first[1:], strict=True):
                 w = words.hash[a:z]
                 h = window_hashes(w, min(N, len(w)), N) if len(w) else np.zeros(0, np.uint64)
-                whole = window_hashes(w, len(w), 7)[:1] if len(w) else np.zeros(1, np.uint64)
-                rows.append((int(whole.view(np.int64)[0]), majority(h), *sketch(np.unique(h))))
+                rows.append((whole_hash(w), majority(h), *sketch(np.unique(h))))
             cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array(np.array([r[1] for r in rows], np.uint64).view(np.int64)), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["k", "id", "node", "fp", "bands", "kept"])
 

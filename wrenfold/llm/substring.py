@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, plus, table, window_hashes
+from .common import Scratch, Words, pieces, plus, table, window_hashes
 
 N_WORDS = 13
 _LOWEST = 8
@@ -53,7 +53,7 @@ def seeds(rows: DataFrame, low: int, up: int) -> DataFrame:
     """(h, id): in each text the hashes of low words that stand for its windows of up words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             found = []
             for w in _texts(b, 1):
                 h = window_hashes(w, low, low)
@@ -67,7 +67,7 @@ def extended(rows: DataFrame, at: int, to: int, seeded: bool) -> DataFrame:
     """(h, id): windows of `to` words that the repeated windows of `at` words (column hits) leave possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             found, hits = [], b.column(2)
             for k, w in enumerate(_texts(b, 1)):
                 h = window_hashes(w, at, at)
@@ -113,7 +113,7 @@ def cut(docs: DataFrame, hits: DataFrame, n: int = N_WORDS, id_col: str = "doc_i
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, at):
             column, hit = b.column(at), b.column(len(names))
             words = Words(column, spans=True)
             kept: list[str | None] = []
