@@ -13,21 +13,23 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plus, table
+from .common import Scratch, pieces, plus, table
 from .langid import held_out
 
-#: Labelled rows that are learned from, by label, at most about this many; stems that the model holds at most.
-SAMPLE, MOST_STEMS = {1: 4000, 0: 12000}, 2000
+#: Labelled rows that are learned from, by label, at most about this many; stems that the model holds at most,
+#: and units looked at, the most frequent of toxic texts.
+SAMPLE, MOST_STEMS, MOST_UNITS = {1: 4000, 0: 12000}, 2000, 400_000
 PRECISION, LEAST_COVER, PURE = 0.9, 2, 24
 #: After the first, so many turns of cover, for stems that tell at least this part of the toxic texts again.
 TURNS, AGAIN = 4, 0.01
@@ -216,45 +218,66 @@ def cover(toxic: list[list[str]], precision: dict[str, float]) -> dict[str, floa
     return out
 
 
-def fit(rows: DataFrame) -> Model:
-    """Fits on rows (t: text, y: 0/1), of each label a bounded sample chosen by a hash of the text. No rows: given words only."""
-    given = {f"={w}": 1.0 for w in INSULTS}
-    rows = rows.where("t IS NOT NULL AND y IN (0, 1)")
-    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chance = F.pmod(F.xxhash64("t", F.lit("toxic")), F.lit(1 << 30)) / float(1 << 30)
-    part = rows.where(chance < F.when(F.col("y") == 1, SAMPLE[1] / max(1, n.get(1, 0))).otherwise(SAMPLE[0] / max(1, n.get(0, 0))))
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(t, y) of a bounded sample of each label's documents, for docs (id, t) and labels (id, y), without the held-out ids.
+
+    Ids are chosen by a hash among the labels; they are few enough, by SAMPLE, to be broadcast to the texts.
+    """
+    labels = labels.where(~held_out("id") & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").cast("int").alias("y"))
+    n = {r.y: r.n for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    chance = F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1 << 30)) / float(1 << 30)
+    some = labels.where(chance < F.when(F.col("y") == 1, SAMPLE[1] / max(1, n.get(1, 0))).otherwise(SAMPLE[0] / max(1, n.get(0, 0))))
+    found = docs.where("t IS NOT NULL").join(F.broadcast(some), "id")
     # equal texts count once
-    part = part.groupBy(F.sha2("t", 256).alias("k")).agg(F.first("t").alias("t"), F.max("y").alias("y"))
+    return found.groupBy(F.sha2("t", 256).alias("k")).agg(F.first("t").alias("t"), F.max("y").alias("y")).select("t", "y")
+
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                us = sorted(units(t))
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array([y] * len(us), pa.int32())], ["u", "y"])
+def _counted(only: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (t) to (u, n): in how many texts each unit is; only those broadcast, if any. Counts are summed before rows leave the task."""
 
-    rows_of = part.select("t", F.col("y").cast("int").alias("y"))
-    both = rows_of.mapInArrow(split, "u string, y int").groupBy("u").agg(F.sum("y").alias("tox"), F.count("*").alias("n"))
-    # what is in toxic texts as often as asked for, and in clean ones so much less often
-    told = both.where((F.col("tox") >= LEAST_COVER) & (F.col("tox") >= PRECISION * F.col("n"))).orderBy(F.desc("tox"), "u").limit(200_000).collect()
-    precision = {r.u: (r.tox + 0.5) / (r.n + 1) for r in told}
-    known = rows.sparkSession.sparkContext.broadcast(frozenset(precision))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["u", "n"])
+        for b in pieces(batches, 0):
+            for t in b.column(0).to_pylist():
+                counts.update(units(t) & only.value if only else units(t))
+            if len(counts) > 500_000:
+                yield out()
+                counts.clear()
+        yield out()
+
+    return run
+
+
+def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> Model:
+    """Fits on a bounded sample of docs (id, t) with labels (id, y: 0/1). Without labels, the given words alone count."""
+    given, context = {f"={w}": 1.0 for w in INSULTS}, docs.sparkSession.sparkContext
+    rows = scratch.put(sampled(docs, labels), "sample")
+    n = rows.where("y = 1").count()
+    # what several toxic texts have, and then how often clean texts have it
+    toxic = rows.where("y = 1").select("t")
+    most = toxic.mapInArrow(_counted(None), "u string, n long").groupBy("u").agg(F.sum("n").alias("tox")).where(F.col("tox") >= max(LEAST_COVER, n // 1000))
+    tox = {r.u: r.tox for r in most.orderBy(F.desc("tox"), "u").limit(MOST_UNITS).collect()}
+    asked = context.broadcast(frozenset(tox))
+    clean = {r.u: r.n for r in rows.where("y = 0").select("t").mapInArrow(_counted(asked), "u string, n long").groupBy("u").agg(F.sum("n").alias("n")).collect()}
+    precision = {u: (k + 0.5) / (k + clean.get(u, 0) + 1) for u, k in tox.items() if k >= PRECISION * (k + clean.get(u, 0))}
+    known = context.broadcast(frozenset(precision))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array([sorted(units(t) & known.value) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], ["us"])
 
-    toxic = sorted(list(r.us) for r in rows_of.where("y = 1").mapInArrow(pick, "us array<string>").collect())
-    lexicon = given | cover(toxic, precision)
-    scorer = rows.sparkSession.sparkContext.broadcast(lexicon)
+    lexicon = given | cover(sorted(list(r.us) for r in toxic.mapInArrow(pick, "us array<string>").collect()), precision)
+    shared = context.broadcast(lexicon)
 
     def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scorer(scorer.value)
-        for b in batches:
+        s = Scorer(shared.value)
+        for b in pieces(batches, 0):
             x = [s.features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(pa.array([v[i] for v in x], pa.float64()) for i in range(3)), b.column(1)], ["a", "b", "c", "y"])
 
-    got = sorted(map(tuple, rows_of.mapInArrow(feats, "a double, b double, c double, y int").collect()))
-    if not got or len({r[3] for r in got}) < 2:
+    got = sorted(map(tuple, rows.mapInArrow(feats, "a double, b double, c double, y int").collect()))
+    if len({r[3] for r in got}) < 2:
         return Model(lexicon, [-3.0, 6.0, 0.0, 0.0])
     x = np.array(got)
     return Model(lexicon, _logistic(x[:, :3], x[:, 3]))
@@ -269,7 +292,7 @@ def rate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scorer = Scorer(m.lexicon)
-        for b in batches:
+        for b in pieces(batches, at):
             texts = b.column(at)
             score = [m.score(scorer.features(t.as_py() or "")) for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], [*names, "score"])
@@ -280,7 +303,6 @@ def rate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    train = docs.where(~held_out("doc_id")).join(labels, "doc_id").select(F.col("text").alias("t"), "y")
-    out = rate(docs, fit(train))
+    labels = table(spark, sf_dir, "labels").where("toxic IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"))
+    out = rate(docs, fit(Scratch(spark, "op6"), docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")), labels))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
