@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StructType
 
 from .text import sanitized_of, text_of, too_long, without_hidden
 from .vocab import CONFUSABLES, DISPOSABLE, EMAIL_PATTERN, LIMITS, PROVIDERS, ROLES, TYPO_RATIO, TYPOS
@@ -34,7 +34,7 @@ def homoglyph_risk(domain: str) -> bool:
     return len(scripts) > 1 or any(ch in CONFUSABLES for ch in domain)
 
 
-@F.pandas_udf("domain string, homoglyph boolean")
+@F.pandas_udf(StructType().add("domain", "string").add("homoglyph", "boolean"))
 def _domain_facts(s: pd.Series) -> pd.DataFrame:
     facts = {d: (corrected_domain(d), homoglyph_risk(d)) for d in s.dropna().unique()}
     found = [facts.get(d, (None, None)) for d in s]

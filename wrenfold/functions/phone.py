@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from .vocab import DIGITS_MAX, DIGITS_MIN, LINE_TYPES, PHONE_MAX
 
@@ -51,7 +51,7 @@ def dummy_pattern(d: Column) -> Column:
     return F.when(repeating(d), "REPEATING_DIGITS").when(sequential(d), "DUMMY_SEQUENCE")
 
 
-@F.pandas_udf("e164 string, national string, country int, region string, kind string, parsed boolean, valid boolean")
+@F.pandas_udf(StructType([StructField(n, t) for n, t in (("e164", StringType()), ("national", StringType()), ("country", IntegerType()), ("region", StringType()), ("kind", StringType()), ("parsed", BooleanType()), ("valid", BooleanType()))]))
 def _parsed(digits: pd.Series, region: pd.Series) -> pd.DataFrame:
     names = ["e164", "national", "country", "region", "kind", "parsed", "valid"]
     rows = []
