@@ -40,13 +40,14 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time a document is taken: epoch, and words taken then. One that its source's budget cuts is cut."""
-    rows = docs.withColumn("size", mixing.n_words("text"))
+    names = [c for c in docs.columns if c not in ("size", "epoch", "words", *mixing.ADDED)]
+    rows = docs.select(*names).withColumn("size", mixing.n_words("text"))
     mixed = mixing.mix(Scratch(spark, "mixture"), rows).where("taken > 0")
     each = mixed.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     each = each.withColumn("words", F.least("size", F.col("taken") - (F.col("epoch") - 1) * F.col("size")).cast("long"))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0)), 1, F.col("words").cast("int")), " ")
     text = F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text"))
-    return each.withColumn("text", text).select(*docs.columns, "size", "source_size", "target", "epoch", "words")
+    return each.withColumn("text", text).select(*names, "size", "source_size", "target", "epoch", "words")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

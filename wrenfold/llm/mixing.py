@@ -21,6 +21,8 @@ CAP = 3
 SEED = 42
 #: About so many rows lie in a cell.
 CELL_ROWS = 4096
+#: Columns that mix() adds.
+ADDED = ("source_size", "target", "budget", "taken")
 
 
 def n_words(text: str) -> Column:
@@ -50,23 +52,25 @@ def mix(scratch: Scratch, rows: DataFrame, id_col: str = "doc_id", source_col: s
     """rows with source_size, target, budget and taken: the words that the mix takes of each row, repeats counted.
 
     A null source is a source; null ids share a key and are ordered by size; rows of size 0 take nothing; repeated
-    rows are taken each on its own; no rows give no rows. The columns named here must not be in rows already.
+    rows are taken each on its own; no rows give no rows. Columns that have the added names are replaced.
     """
+    rows = rows.drop(*ADDED, "_skey", "_hkey", "_cell", "_base", "_before")
     bits = min(30, max(0, math.ceil(math.log2(max(1, rows.count()) / CELL_ROWS))))
-    rows = rows.withColumn("skey", F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col))))
-    rows = rows.withColumn("hkey", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
-    rows = rows.withColumn("cell", F.shiftright(F.conv(F.substring("hkey", 1, 8), 16, 10).cast("long"), 32 - bits))
-    cells = scratch.put(rows.groupBy("skey", "cell").agg(F.first(source_col).alias("source"), F.sum(size_col).alias("cell_size")), "cells")
+    rows = rows.withColumn("_skey", F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col))))
+    rows = rows.withColumn("_hkey", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
+    rows = rows.withColumn("_cell", F.shiftright(F.conv(F.substring("_hkey", 1, 8), 16, 10).cast("long"), 32 - bits))
+    cells = rows.groupBy("_skey", "_cell").agg(F.first(source_col).alias("source"), F.sum(size_col).alias("cell_size"))
+    cells = scratch.put(cells.withColumnRenamed("_skey", "skey"), "cells")
     goal = targets(cells.groupBy("skey").agg(F.first("source").alias("source"), F.sum("cell_size").alias("source_size")))
-    earlier = Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    base = cells.select("skey", "cell", F.coalesce(F.sum("cell_size").over(earlier), F.lit(0)).alias("base")).join(goal, "skey")
-    base = scratch.put(base, "base")
-    inside = Window.partitionBy("skey", "cell").orderBy("hkey", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(base, ["skey", "cell"]).withColumn("before", F.col("base") + F.coalesce(F.sum(size_col).over(inside), F.lit(0)))
+    earlier = Window.partitionBy("skey").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = cells.select("skey", "_cell", F.coalesce(F.sum("cell_size").over(earlier), F.lit(0)).alias("_base")).join(goal, "skey")
+    base = scratch.put(base.withColumnRenamed("skey", "_skey"), "base")
+    inside = Window.partitionBy("_skey", "_cell").orderBy("_hkey", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(base, ["_skey", "_cell"]).withColumn("_before", F.col("_base") + F.coalesce(F.sum(size_col).over(inside), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     rest = F.col("budget") - whole * F.col("source_size")
-    taken = whole * F.col(size_col) + F.least(F.col(size_col), F.greatest(F.lit(0), rest - F.col("before")))
-    return out.withColumn("taken", taken.cast("long")).drop("skey", "hkey", "cell", "base", "before")
+    taken = whole * F.col(size_col) + F.least(F.col(size_col), F.greatest(F.lit(0), rest - F.col("_before")))
+    return out.withColumn("taken", taken.cast("long")).drop("_skey", "_hkey", "_cell", "_base", "_before")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,8 +186,8 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
 def deduplicated(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates; repeated rows stay once."""
     stay = scratch.put(near_duplicates(scratch, docs, id_col, text_col), "stay")
-    keyed = docs.withColumn("_k", F.xxhash64(id_col, F.col(text_col).cast("string")))
-    return keyed.join(stay.select(F.col("k").alias("_k")), "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    keyed = docs.withColumn("_wrenfold_k", F.xxhash64(id_col, F.col(text_col).cast("string")))
+    return keyed.join(stay.select(F.col("k").alias("_wrenfold_k")), "_wrenfold_k", "left_semi").dropDuplicates(["_wrenfold_k"]).drop("_wrenfold_k")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
