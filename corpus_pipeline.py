@@ -14,10 +14,16 @@ from wrenfold.llm.common import Scratch, table
 PASSAGE = 50
 
 
+def _aside(docs: DataFrame, names: set[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The stage's rows with the columns of docs; those that have a name the stage uses are renamed meanwhile."""
+    away = {c: f"_aside_{k}" for k, c in enumerate(docs.columns) if c in names}
+    out = stage(docs.withColumnsRenamed(away))
+    return out.select(*(F.col(away.get(c, c)).alias(c) for c in docs.columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without letters, or far from every known language, go."""
-    known = langid.identify(docs, langid.fit(docs))
-    return known.where(~F.col("rejected")).select(*docs.columns)
+    return _aside(docs, {"lang_pred", "score", "rejected"}, lambda d: langid.identify(d, langid.fit(d)).where(~F.col("rejected")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,16 +32,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that one of smaller id has; those of which nothing is left go."""
-    hits = substring.repeated(Scratch(spark, "passages"), docs, PASSAGE)
-    out = substring.cut(docs, hits, PASSAGE).where("n_removed = 0 OR n_removed < n_words")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Documents without the passages that one of smaller id has; those of which nothing is left go. n_chars follows the text."""
+
+    def stage(d: DataFrame) -> DataFrame:
+        out = substring.cut(d, substring.repeated(Scratch(spark, "passages"), d, PASSAGE), PASSAGE).where("n_removed = 0 OR n_removed < n_words")
+        return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+
+    return _aside(docs, {"n_words", "n_removed", "_hits", "_hit_id"}, stage)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
-    found = decontam.overlaps(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("items") == 0).select(*docs.columns)
+    return _aside(docs, {"items", "overlap", "_plain"}, lambda d: decontam.overlaps(d, table(spark, sf_dir, "benchmark")).where(F.size("items") == 0))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A text is a normalised TF-IDF vector of hashed character n-grams (2 to 4 letters, word ends marked). Each language has
 several centroids, found by spherical k-means over a bounded sample of labelled texts; the prediction is the language
-of the nearest centroid by cosine. Short texts are less similar, so a text is rejected if its similarity is under a part of
-the lowest that training texts up to its length have; texts shorter than those known are not rejected.
+of the nearest centroid by cosine. For rejection the similarity that random n-grams would have is taken off. Short texts
+are less similar, so a text is rejected if the rest is under a part of the lowest that training texts up to its length
+have; texts shorter than those known are not rejected.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ DIMS = 1 << 12
 CENTROIDS, ROUNDS = 3, 12
 #: A text is rejected under this part of the lowest similarity of training texts; lengths (powers of 2 of n-grams) that
 #: fewer training texts have reject nothing.
-SLACK, LEAST_OF_LENGTH = 0.6, 10
+SLACK, LEAST_OF_LENGTH = 0.4, 10
 UNKNOWN = "und"
 _PIECE = 1 << 18
 
@@ -75,10 +76,15 @@ class Model:
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language index, cosine and whether it is rejected."""
-        sim = self.vectors(counts) @ self.centroids.T
+        x = self.vectors(counts)
+        sim = x @ self.centroids.T
         k = sim.argmax(axis=1)
         best, lang = sim[np.arange(len(k)), k], self.of[k]
-        return lang, np.clip(best.astype(np.float64), 0.0, 1.0), best < SLACK * self.least[length(counts)]
+        return lang, np.clip(best.astype(np.float64), 0.0, 1.0), self.above_chance(x, k, best) < SLACK * self.least[length(counts)]
+
+    def above_chance(self, x: np.ndarray, k: np.ndarray, sim: np.ndarray) -> np.ndarray:
+        """The similarity to centroid k beyond that of as many n-grams hashed at random."""
+        return sim - self.centroids.mean(axis=1)[k] * x.sum(axis=1)
 
 
 def length(counts: np.ndarray) -> np.ndarray:
@@ -127,7 +133,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         cs.append(_kmeans(x[y == k], CENTROIDS))
     model.of = np.repeat(np.arange(len(names)), [len(c) for c in cs])
     model.centroids = np.concatenate(cs).astype(np.float32)
-    own, sim = length(counts), (x @ model.centroids.T).max(axis=1)
+    all_sim = x @ model.centroids.T
+    near = all_sim.argmax(axis=1)
+    own, sim = length(counts), model.above_chance(x, near, all_sim.max(axis=1))
     known = [sim[own == k].min() if (own == k).sum() >= LEAST_OF_LENGTH else 1.0 for k in range(32)]
     lowest = np.minimum.accumulate(known)
     model.least = np.where(lowest < 1.0, lowest, 0.0)
