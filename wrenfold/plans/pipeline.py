@@ -43,6 +43,8 @@ class Result:
     entry: AuditEntry | None
 
 
+# Fixed value: records of a batch in strict mode; otherwise there is no limit.
+BATCH_LIMIT = 20_000
 FIELDS = ("email", "name", "phone", "address", "company", "bio")
 
 
@@ -90,6 +92,8 @@ def run(df: DataFrame, options: Options, mx: DataFrame | None = None) -> Result:
     """Records (with _row_idx) come out once: clean, or counted by the report."""
     o, began, spark = options, time.monotonic(), df.sparkSession
     Tenant(o.tenant_id)
+    if o.strict and df.limit(BATCH_LIMIT + 1).count() > BATCH_LIMIT:
+        raise ValueError(f"a batch has at most {BATCH_LIMIT} records in strict mode")
     mx = spark.createDataFrame([], MX_SCHEMA) if mx is None else mx
     # each step is read several times (by the join that hands back firsts, the report, the audit): it is made once
     flow = staged(normalized(df).withColumn("_fp", optional_fingerprint(F.col("email"), tenant_key(o.tenant_id, o.pepper))), "normalized")

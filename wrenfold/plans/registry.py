@@ -522,6 +522,54 @@ def wfl1(spark, d):
     return billing.pending(jobs.table(spark)).select("tenant_id", "records_count", "status")
 
 
+query("dup1", f"SELECT 'acme' AS tenant, {D.hmac(D.q(TENANT), PEPPER)} AS key", False)(lambda spark, d: spark.createDataFrame([(TENANT, H.tenant_key(TENANT, PEPPER).hex())], "tenant string, key string"))
+query("sup5", "SELECT c_custkey, sha256(c_name) AS h FROM customer", False)(lambda spark, d: read(spark, d, "customer").select("c_custkey", F.sha2("c_name", 256).alias("h")))
+
+
+@query("str4", "SELECT 200 AS known, true AS same, true AS none_beyond", False)
+def str4(spark, d):
+    b = throttle.Breakers()
+    found = [b.get(f"s{k}") for k in range(throttle.BREAKER_SERVICES + 1)]
+    return spark.createDataFrame([(sum(x is not None for x in found), b.get("s0") is found[0], found[-1] is None)], "known int, same boolean, none_beyond boolean")
+
+
+@query("str5", "SELECT CAST(k AS INT) AS attempt, true AS within FROM range(-1, 12) t(k)", False)
+def str5(spark, d):
+    return spark.createDataFrame([(k, 0 <= throttle.backoff(k) <= min(30.0, 0.5 * 2 ** max(0, k))) for k in range(-1, 12)], "attempt int, within boolean")
+
+
+@query("str6", "SELECT * FROM (VALUES ('works', true, 1), ('third time', true, 3), ('never', false, 4)) t(operation, fine, attempts)", False)
+def str6(spark, d):
+    tries = iter([0, 0, 1])
+    runs = {"works": lambda: 1, "third time": lambda: 1 / next(tries), "never": lambda: 1 / 0}
+    done = {n: throttle.retry(f, 4, lambda s: None) for n, f in runs.items()}
+    return spark.createDataFrame([(n, r[0], r[2]) for n, r in done.items()], "operation string, fine boolean, attempts int")
+
+
+@query("mtr1", "SELECT * FROM (VALUES ('FREE', true, 0), ('FREE', false, 0), ('ENTERPRISE', true, -1)) t(tier, approved, remaining)", False)
+def mtr1(spark, d):
+    c = billing.Credits()
+    c.account("e", "ENTERPRISE")
+    rows = [("FREE", *c.deduct("f", 1000)), ("FREE", *c.deduct("f", 1)), ("ENTERPRISE", *c.deduct("e", 1_000_001))]
+    return spark.createDataFrame(rows, "tier string, approved boolean, remaining int")
+
+
+@query("prc2", "SELECT CAST(7.5 AS DOUBLE) AS rate, 'EUR' AS currency, '€7.50' AS price", False)
+def prc2(spark, d):
+    p = billing.Prices().updated(rate_per_1000=7.5, currency="EUR", minimum_fee=None, nonsense=1)
+    return spark.createDataFrame([(p.rate_per_1000, p.currency, billing.invoice(1000, p)["formatted_price"])], "rate double, currency string, price string")
+
+
+@query("lim3", "SELECT true AS refused", False)
+def lim3(spark, d):
+    many = spark.range(PL.BATCH_LIMIT + 1).select(C("id").alias("_row_idx"), C("id").cast("string").alias("id"))
+    try:
+        PL.run(many, _options(True))
+    except ValueError:
+        return spark.createDataFrame([(True,)], "refused boolean")
+    return spark.createDataFrame([(False,)], "refused boolean")
+
+
 # --- the pipeline -----------------------------------------------------------------------------------------------------
 
 PIPELINE_RULES = [
