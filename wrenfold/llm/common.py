@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -41,11 +42,24 @@ def plus(df: DataFrame, *names: str, **more: str) -> StructType:
     return out
 
 
+class Shared:
+    """An object broadcast with its class, so that workers need not find this package on their own path."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._data, self._value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    @property
+    def value(self) -> object:
+        if self._value is None:
+            self._value = cloudpickle.loads(self._data.value)
+        return self._value
+
+
 class Scratch:
     """Tables of one run of an operator. A table cuts lineage, so a lost executor costs no more than its last step."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+            self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mask_hashes, pieces, table
+from .common import Shared, Words, mask_hashes, pieces, table
 
 MASKS = ((0, 1, 3, 6, 7, 10), (0, 2, 3, 4, 8, 9), (0, 1, 2, 5, 7, 8), (0, 3, 4, 5, 6, 11))
 SPAN = 12
@@ -111,7 +111,7 @@ def overlaps(rows: DataFrame, bench: DataFrame, text_col: str = "text", item_col
     out = rows.withColumn("items", F.array().cast("array<long>")).withColumn("overlap", F.lit(0))
     for block in range(blocks):  # the driver holds one block, of bounded size
         part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).orderBy("i", "t").collect()
-        seeds = spark.sparkContext.broadcast(Seeds([r.i for r in part], [r.t for r in part]))
+        seeds = Shared(spark, Seeds([r.i for r in part], [r.t for r in part]))
 
         def run(batches: Iterator[pa.RecordBatch], seeds=seeds) -> Iterator[pa.RecordBatch]:
             s = seeds.value

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, plus, table
+from .common import Shared, pieces, plus, table
 
 #: Labelled texts the model is fitted on: about so many in all, and at least so many of each language.
 SAMPLE, LEAST_SAMPLE = 2000, 20
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     docs, at = docs.select(*names), names.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, letter = shared.value, letters()

@@ -81,7 +81,7 @@ def clusters(scratch: Scratch, prints: DataFrame, id_col: str = "doc_id") -> Dat
 # --- near duplicates at a shingle similarity ---------------------------------------------------------------------------
 
 #: Shingle length, similarity, bands and values in a band of the MinHash signature, hashes kept of a text, rounds.
-N, SIMILARITY, BANDS, BAND, KEPT, ROUNDS = 5, 0.8, 12, 5, 1024, 5
+N, SIMILARITY, BANDS, BAND, KEPT, ROUNDS = 5, 0.8, 20, 5, 1024, 5
 _FACTORS = mix(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 

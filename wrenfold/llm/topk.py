@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, table
+from .common import Scratch, Shared, table
 
 K, QUERY_STEP, SCALE = 20, 20, 64
 #: Pivots, and distinct vectors they are chosen from.
@@ -186,7 +186,7 @@ def search(scratch: Scratch, vectors: DataFrame, k: int = K, id_col: str = "vec_
     dims = max(1, dims)
     sample = base.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) <= (1 << 20) * SAMPLE // n).limit(2 * SAMPLE).select("v").toArrow().column("v").combine_chunks()
     sample = _matrix(sample, dims) if len(sample) else np.zeros((0, dims))
-    shared = spark.sparkContext.broadcast(Space(sample[np.lexsort(sample.T)], dims, int(longest)))
+    shared = Shared(spark, Space(sample[np.lexsort(sample.T)], dims, int(longest)))
     slices = scratch.put(_sliced(base, shared, max(SLICE, n // (MOST_SLICES // 2)), False), "slices")
     blocks = scratch.put(_sliced(questions.select("v", F.array("qid").alias("ids")), shared, BLOCK, True), "blocks").select(F.col("x").alias("qx"), F.col("ids").alias("qids"))
     where = spark.sparkContext.broadcast(np.array(sorted((r.pivot, r.lo, r.hi, r.sid) for r in slices.select("pivot", "lo", "hi", "sid").collect()), dtype="i4,f8,f8,i8"))

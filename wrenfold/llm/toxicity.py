@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces, plus, table
+from .common import Scratch, Shared, pieces, plus, table
 from .langid import held_out
 
 #: Labelled rows that are learned from, by label, at most about this many; stems that the model holds at most,
@@ -287,7 +287,7 @@ def rate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with score: how likely the text is toxic. Null and empty texts have the score of a text that nothing matches."""
     names = [c for c in docs.columns if c != "score"]
     docs, at = docs.select(*names), names.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
