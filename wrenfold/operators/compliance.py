@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.hashing import canonical_json, fingerprint, genesis, merkle_root, tenant_key
 from ..functions.vocab import ACTION_TYPES, METADATA_FIELDS, PII_FIELDS, TOMBSTONE
+from ..sources.staging import numbered
 
 
 def protected(df: DataFrame, key: bytes, redact: tuple[str, ...] = (), pseudonymize: tuple[str, ...] = ()) -> DataFrame:
@@ -80,9 +81,7 @@ def leaves(df: DataFrame, key: bytes, order: str = "_row_idx") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("_at")), pa.array(out, pa.string())], ["at", "leaf"])
 
     made = df.select(F.col(order).cast("long").alias("_at"), *columns).mapInArrow(run, "at long, leaf string")
-    # positions without gaps, by range: no task sees all records
-    numbered = made.rdd.sortBy(lambda r: r.at).zipWithIndex().map(lambda x: (x[1], x[0].leaf))
-    return df.sparkSession.createDataFrame(numbered, "idx long, leaf string")
+    return numbered(made, "at", name="idx").select("idx", "leaf")
 
 
 def audit(df: DataFrame, tenant_id: str, pepper: bytes, action: str = "DATA_NORMALIZATION", batch_id: str | None = None, previous: str | None = None, redact: tuple = (), pseudonymize: tuple = (), timestamp: float | None = None, order: str = "_row_idx") -> tuple[DataFrame, AuditEntry]:
@@ -91,12 +90,11 @@ def audit(df: DataFrame, tenant_id: str, pepper: bytes, action: str = "DATA_NORM
     action = action if action in ACTION_TYPES else "DATA_NORMALIZATION"
     batch_id = batch_id or hashlib.sha256(f"{tenant_id}:{time.time_ns()}".encode()).hexdigest()[:16]
     clean = protected(df, key, redact, pseudonymize)
-    leaf = leaves(clean, key, order).persist()
+    leaf = leaves(clean, key, order)
     body = {
         "schema_version": 1, "timestamp": ts, "tenant_id": tenant_id, "batch_id": batch_id, "action_type": action, "record_count": leaf.count(),
         "payload_merkle_root": merkle_root(leaf), "prev_chain_hash": previous or genesis(tenant_id, pepper),
     }
-    leaf.unpersist()
     entry = AuditEntry(**body, chain_hash=_chain_hash(body))
     out = clean.drop("redacted_fields", "pseudonymized_fields", "failed_fields")
     return out.withColumns({"_audit_batch_id": F.lit(batch_id), "_audit_chain_hash": F.lit(entry.chain_hash), "_meta_compliance_audited": F.lit(True)}), entry

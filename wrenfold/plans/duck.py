@@ -229,3 +229,17 @@ def soundex(x: str) -> str:
     for d in "0123456":
         codes = f"regexp_replace({codes}, '{d}+', '{d}', 'g')"
     return f"CASE WHEN length({u}) > 0 THEN rpad({u}[1] || replace({codes}[2:], '0', ''), 4, '0')[1:4] END"
+
+
+def json_text(pairs: dict[str, str]) -> str:
+    """A JSON object of strings, without those that are null; names in order."""
+    parts = ", ".join(f"""'"{n}":"' || {x} || '"'""" for n, x in sorted(pairs.items()))
+    return f"'{{' || array_to_string(list_filter([{parts}], lambda p: p IS NOT NULL), ',') || '}}'"
+
+
+def merkle(leaves: str, levels: int = 20) -> str:
+    """CTEs up to m{levels}, whose one row (h) is the root of a query of (i, h), i from 0, of up to 2^levels leaves."""
+    out = [f"m0 AS MATERIALIZED ({leaves})"]
+    for k in range(levels):
+        out.append(f"m{k + 1} AS MATERIALIZED (SELECT i // 2 AS i, CASE WHEN (SELECT count(*) FROM m{k}) = 1 THEN min(h) ELSE sha256(arg_min(h, i) || arg_max(h, i)) END AS h FROM m{k} GROUP BY i // 2)")
+    return ", ".join(out)

@@ -16,7 +16,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..functions import vocab as V
 from ..operators import billing, classify, compliance, dedup, rules, summary, throttle, verify
-from ..operators.contacts import contacts
+from ..operators.contacts import CONTACTS, contacts
 from ..sources import tables
 from ..sources.staging import new_path
 from . import duck as D
@@ -379,7 +379,7 @@ _fields6 = lambda spark, d: contacts(spark, d).select("_row_idx", "id", "email",
 query("agg4", _AUDIT)(lambda spark, d: classify.normalize_table(_fields6(spark, d), TENANT, "_row_idx")[1])
 
 
-@query("agg7")
+@query("agg7", f"WITH {D.merkle('SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, sha256(c_name) AS h FROM customer')} SELECT h AS root FROM m20", False)
 def agg7(spark, d):
     leaf = tables.with_order(read(spark, d, "customer").select(C("c_custkey").alias("k"), F.sha2("c_name", 256).alias("leaf")), "k").select(C("_row_idx").alias("idx"), "leaf")
     return spark.createDataFrame([(H.merkle_root(leaf),)], "root string")
@@ -447,7 +447,19 @@ query(
 query("cmp3", f"SELECT id, CASE WHEN email <> '' THEN 'REDACTED' END AS email_hash, {D.hmac('lower(trim(name))', KEY)} AS name_hash, CASE WHEN phone <> '' THEN {D.hmac('(' + D.hmac('lower(trim(phone))', KEY) + ')', KEY)} END AS phone_hash FROM contacts")(
     lambda spark, d: (p := _protected(spark, d)).select("id", *compliance.safe_projection(p.select("id", "email", "name", "phone"), KEY))
 )
-query("cmp4")(lambda spark, d: compliance.leaves(contacts(spark, d), KEY))
+_HASHED = D.json_text({f"{f}_hash": f"CASE WHEN {f} <> '' THEN {D.hmac(f'lower(trim({f}))', KEY)} END" for f in ("address", "email", "name", "phone")})
+_LEAVES = f"SELECT row_number() OVER (ORDER BY _row_idx) - 1 AS i, sha256({_HASHED}) AS h FROM contacts"
+query("cmp4", f"SELECT i AS idx, h AS leaf FROM ({_LEAVES})")(lambda spark, d: compliance.leaves(contacts(spark, d), KEY))
+
+
+_GENESIS = H.genesis(TENANT, PEPPER)
+_BODY = (
+    f"""'{{"action_type":"DATA_NORMALIZATION","batch_id":"b","payload_merkle_root":"' || h || '","prev_chain_hash":"{_GENESIS}","record_count":' || CAST(n AS VARCHAR) || ',"schema_version":1,"tenant_id":"{TENANT}","timestamp":0.0}}{_GENESIS}'"""
+)
+SQL["cmp5"] = (
+    f"WITH contacts AS ({CONTACTS}), {D.merkle(_LEAVES)} SELECT 1 AS schema_version, CAST(0 AS DOUBLE) AS timestamp, '{TENANT}' AS tenant_id, 'b' AS batch_id, 'DATA_NORMALIZATION' AS action_type, n AS record_count, "
+    f"h AS payload_merkle_root, '{_GENESIS}' AS prev_chain_hash, sha256({_BODY}) AS chain_hash FROM m20, (SELECT count(*) AS n FROM contacts)"
+)
 
 
 @query("cmp5")
@@ -471,7 +483,13 @@ query("cmp7", f"SELECT id, CASE WHEN email <> '' THEN '[REDACTED]' ELSE email EN
 # --- state, billing, workflow -----------------------------------------------------------------------------------------
 
 query("str1", "SELECT event_id, least(60.0, value + greatest(0.0, CAST(event_id % 7 - 3 AS DOUBLE)) * 2.0) AS tokens FROM events", False)(lambda spark, d: read(spark, d, "events").select("event_id", throttle.refilled(C("value"), F.lit(0.0), (C("event_id") % 7 - 3).cast("double"), F.lit(60.0), F.lit(2.0)).alias("tokens")))
-query("str2")(lambda spark, d: throttle.throttle_timed(read(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2.0, 1 / 90000).select("event_id", "is_throttled", "throttle_tag"))
+_TIMED = """
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT event_id, user_id, now, k, CAST(2 AS DOUBLE) AS t FROM e WHERE k = 1 UNION ALL
+  SELECT e.event_id, e.user_id, e.now, e.k, least(CAST(2 AS DOUBLE), r.t - CASE WHEN r.t >= 1 THEN 1 ELSE 0 END + greatest(CAST(0 AS DOUBLE), e.now - r.now) * (CAST(1 AS DOUBLE) / 90000)) FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT event_id, t < 1 AS is_throttled, CASE WHEN t < 1 THEN 'RATE_LIMIT_EXCEEDED' ELSE 'ALLOWED' END AS throttle_tag FROM r
+"""
+query("str2", _TIMED, False)(lambda spark, d: throttle.throttle_timed(read(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2.0, 1 / 90000).select("event_id", "is_throttled", "throttle_tag"))
 
 
 @query("str3", "SELECT * FROM (VALUES (0, true, 'CLOSED'), (1, false, 'OPEN'), (2, true, 'HALF_OPEN'), (3, false, 'HALF_OPEN'), (4, true, 'CLOSED')) t(step, allowed, state)", False)

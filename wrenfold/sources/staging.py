@@ -8,6 +8,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +30,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again."""
     df.write.parquet(path := new_path(df.sparkSession, name))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order: str, name: str = "_row_idx") -> DataFrame:
+    """df with its rows' positions, from 0 without gaps, in the given order (ties by chance).
+
+    Rows are dealt by range and written once, so that their parts stay what they are; parts are counted, and a part's
+    rows are numbered from the sum of those before it. No task sees more than a part.
+    """
+    dealt = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    parts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.join(parts, "_part").withColumn(name, (F.col("_from") + place).cast("long")).drop("_part", "_from")

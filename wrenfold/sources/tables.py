@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import EXPORT_TARGETS, Tenant
+from .staging import numbered
 
 try:
     import openpyxl
@@ -43,8 +44,7 @@ def from_json(lines: DataFrame, column: str, schema: str) -> DataFrame:
 
 def with_order(df: DataFrame, *order: str) -> DataFrame:
     """_row_idx, from 0, in the order of a declared key."""
-    numbered = df.rdd.sortBy(lambda r: tuple(r[c] for c in order)).zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(numbered, df.schema.add("_row_idx", "long"))
+    return numbered(df, *order)
 
 
 def _or(df: DataFrame, a: str, b: str) -> Column:
