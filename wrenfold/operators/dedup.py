@@ -23,6 +23,8 @@ def keep_first(df: DataFrame, key: Column, order: str = "_row_idx", name: str =
     """WIN1: flags all but the first record of each key; null keys are no duplicates. Firsts are aggregated and joined back."""
     keyed = df.withColumn("_key", key)
     first = keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.min(order).alias("_first"))
+    # rows without a key match nothing; a key of their own deals them out, where null would send all to one task
+    keyed = keyed.withColumn("_key", F.coalesce("_key", F.concat(F.lit("\u0000"), F.col(order).cast("string"))))
     return keyed.join(first, "_key", "left").withColumn(name, F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_key", "_first")
 
 

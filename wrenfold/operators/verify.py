@@ -114,8 +114,10 @@ def verify(df: DataFrame, tenant_id: str, mx: DataFrame, probes: DataFrame | Non
     none = F.lit(None)
     table = table.join(probes.select(F.col("domain").alias("_d"), F.col("catch_all").alias("_all"), F.col("smtp_tag").alias("_smtp")), "_d", "left") if probes is not None else table.withColumns({"_all": none.cast("boolean"), "_smtp": none.cast("string")})
     small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # rows without a domain match nothing; in a shuffled join they are dealt out by their contents
+    spread = F.coalesce("_s.domain", F.concat(F.lit("\u0000"), F.xxhash64(*(F.col(f"`{c}`") for c in df.columns if not dict(df.dtypes)[c].startswith("map"))).cast("string")))
     df = df.withColumn("_s", E.syntax(F.col(email)))
-    out = df.join(F.broadcast(table) if small else table, F.col("_s.domain") == F.col("_d"), "left")
+    out = df.join(F.broadcast(table), F.col("_s.domain") == F.col("_d"), "left") if small else df.withColumn("_k", spread).join(table, F.col("_k") == F.col("_d"), "left").drop("_k")
     ok, dis, role = F.col("_s.ok"), E.disposable(F.col("_s.domain")), E.role_based(F.col("_s.local"))
     tags = verification_tags(ok, dis, role, F.coalesce("_tag", F.lit("DNS_ERROR")), F.col("_ip"), F.col("_all"), F.col("_smtp"))
     out = out.withColumns({"is_disposable": dis, "is_role_based": role & ok, "is_catch_all": F.when(ok & ~dis, F.col("_all")), "verification_tags": tags})
