@@ -20,7 +20,17 @@ from pyspark.sql.types import StructType
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of an Arrow batch, where the session sets none: texts are long, and the JVM and Python both hold a batch.
+_BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH_BYTES[0], None) is None:
+        spark.conf.set(*_BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,7 +69,8 @@ class Scratch:
     """Tables of one run of an operator. A table cuts lineage, so a lost executor costs no more than its last step."""
 
     def __init__(self, spark: SparkSession, name: str):
-            self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        small_batches(spark)
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

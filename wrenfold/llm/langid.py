@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, pieces, plus, table
+from .common import Shared, pieces, plus, small_batches, table
 
 #: Labelled texts the model is fitted on: about so many in all, and at least so many of each language.
 SAMPLE, LEAST_SAMPLE = 2000, 20
@@ -147,6 +147,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     A text that is null or has no letter is of no language: `und`, 0, rejected. Without a model every text is.
     """
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     docs, at = docs.select(*names), names.index(text_col)
     shared = Shared(docs.sparkSession, model)
