@@ -279,6 +279,20 @@ def test_near_duplicates(spark, sf, odd, empty):
     assert simhash.deduplicated(Scratch(spark, "t"), empty).count() == 0
 
 
+def test_near_duplicates_of_a_crowded_bucket(spark, monkeypatch):
+    """A family with a common passage: buckets hold many groups, of which a member's partners are few."""
+    monkeypatch.setattr(simhash, "MEMBERS", 16, raising=False)
+    rng = np.random.default_rng(1)
+    made = []
+    for i in range(400):
+        words = [f"w{k}" for k in range(254)]
+        for k in rng.choice(254, rng.integers(2, 9), replace=False):
+            words[k] = f"x{rng.integers(10**9)}"
+        made.append((i, " ".join(words)))
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(Scratch(spark, "t"), docs).collect()) == brute_near(made)
+
+
 def brute_cut(docs, n):
     seen = collections.defaultdict(list)
     for i, t in docs:

@@ -80,8 +80,11 @@ def clusters(scratch: Scratch, prints: DataFrame, id_col: str = "doc_id") -> Dat
 
 # --- near duplicates at a shingle similarity ---------------------------------------------------------------------------
 
-#: Shingle length, similarity, bands and values in a band of the MinHash signature, hashes kept of a text, rounds.
+#: Shingle length, similarity, bands and values in a band of the MinHash signature, hashes kept of a text, rounds in
+#: which a bucket's members meet one of them before all pairs that are still in different groups meet.
 N, SIMILARITY, BANDS, BAND, KEPT, ROUNDS = 5, 0.8, 20, 5, 1024, 5
+#: Members of a bucket that are compared with as many others at a time.
+MEMBERS = 128
 _FACTORS = mix(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -146,14 +149,74 @@ def _verified(edges: DataFrame, kept: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _cell_links(here: int, x: int, y: int, block: np.ndarray, node: np.ndarray, root: np.ndarray, bands: np.ndarray, kept: list[bytes]) -> list[tuple[int, int]]:
+    """Links that join the groups of a cell: members of block x meet those of block y, but for pairs that are linked already.
+
+    A pair that shares several buckets is compared in the smallest of them alone.
+    """
+    sets = [np.frombuffer(k, "<u4") for k in kept]
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    flag, group, out = np.zeros(len(values), np.int64), root.copy(), []
+    for i in np.flatnonzero(block == x).tolist():
+        js = np.flatnonzero((block == y) & (group != group[i]))
+        js = js[js > i] if x == y else js
+        common = np.where(bands[js] == bands[i], bands[js], np.iinfo(np.int64).max).min(axis=1)
+        js = js[common == here]
+        if not len(js):
+            continue
+        own = ids[starts[i] : starts[i] + sizes[i]]
+        flag[own] = 1
+        both = np.add.reduceat(flag[ids], starts)[js]
+        flag[own] = 0
+        near = both / (sizes[i] + sizes[js] - both) >= SIMILARITY
+        for k in np.flatnonzero(np.maximum(sizes[js], sizes[i]) >= KEPT).tolist():  # sketches of longer texts
+            near[k] = similarity(kept[i], kept[js[k]]) >= SIMILARITY
+        for j in js[near].tolist():
+            if group[j] != group[i]:
+                out.append((int(node[i]), int(node[j])))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def _rest(bucket: DataFrame, root: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): links between the groups of each bucket, from all pairs of its members in different groups.
+
+    Members are dealt into blocks of about MEMBERS, those of the bucket's largest group apart: these need not meet each
+    other. Each two blocks that have to meet do so in a cell of their own, so no task holds a whole bucket.
+    """
+    of_group = bucket.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    sizes = of_group.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("groups"))
+    blocks = lambda n: F.ceil(n / MEMBERS).cast("int")
+    plan = sizes.where("groups > 1").select("bucket", F.col("most.root").alias("main"), blocks(F.col("most.n")).alias("many"), blocks(F.col("n") - F.col("most.n")).alias("few"))
+    dealt = of_group.join(plan, "bucket").withColumn("block", F.when(F.col("root") == F.col("main"), F.col("few") + F.pmod(F.xxhash64("node"), F.col("many"))).otherwise(F.pmod(F.xxhash64("node"), F.col("few"))).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("few") + F.col("many") - 1), lambda k: F.struct(F.least(k, "block").alias("x"), F.greatest(k, "block").alias("y")))
+    mains = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda k: F.struct(k.alias("x"), F.col("block").alias("y")))
+    cells = dealt.join(nodes.select("node", "bands", "kept"), "node").withColumn("cell", F.explode(F.when(F.col("block") < F.col("few"), others).otherwise(mains)))
+    cells = cells.groupBy("bucket", "cell").agg(F.collect_list(F.struct("block", "node", "root", "bands", "kept")).alias("members"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            members, out = b.column(3), []
+            ends = members.offsets.to_pylist()
+            for here, x, y, at, to in zip(*(b.column(c).to_pylist() for c in range(3)), ends[:-1], ends[1:], strict=True):
+                block, node, root, bands, kept = (members.values.field(c).slice(at, to - at) for c in range(5))
+                out += _cell_links(here, x, y, block.to_numpy(), node.to_numpy(), root.to_numpy(), np.array(bands.to_pylist(), np.int64), kept.to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(2)], ["a", "b"])
+
+    return cells.select("bucket", "cell.x", "cell.y", "members").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k): xxhash64 of id and text of the documents that stay: of each group of near duplicates the one of smallest id.
 
     Copies (the same words, A-Z lower-cased) are one group; texts whose sets of five-word shingles have a similarity of
     0.8 or more are linked. Candidates are the fingerprint links of ball hashing and, as two bits of 64 reach only
-    similarities near 1, the buckets of a banded MinHash signature. Nobody meets all of a bucket: in each round every
-    member meets one member, chosen anew by a hash, of those buckets that still hold several groups. Null and empty
-    texts are copies of each other.
+    similarities near 1, the buckets of a banded MinHash signature. First, in a few rounds, every member meets one
+    member, chosen anew by a hash, of those buckets that still hold several groups, which joins most of a large family
+    by few comparisons. Then all pairs of a bucket that are still in different groups are compared. Null and empty texts
+    are copies of each other.
     """
     every = scratch.put(sketches(docs, id_col, text_col), "sketches")
     lead = scratch.put(every.groupBy("node").agg(F.min(F.struct("id", "k")).alias("lead")), "lead")
@@ -179,6 +242,9 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
             break
         links = links.unionByName(found)
         root = scratch.put(components(scratch, links, f"cc-{turn}"), f"root-{turn}")
+    found = scratch.put(_rest(bucket, root, nodes), "links-rest")
+    if not found.isEmpty():
+        root = scratch.put(components(scratch, links.unionByName(found), "cc-rest"), "root-rest")
     grouped = lead.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("lead").alias("lead"))
     return grouped.select(F.col("lead.k").alias("k"))
 
