@@ -293,6 +293,19 @@ def test_near_duplicates_of_a_crowded_bucket(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.deduplicated(Scratch(spark, "t"), docs).collect()) == brute_near(made)
 
 
+def test_near_duplicates_of_long_texts(spark):
+    """Pairs of 4000 shingles, similar by little more or less than 0.8: a sample of 1024 would misjudge some."""
+    rng, made = np.random.default_rng(4), []
+    for p in range(40):
+        words = [f"p{p}w{k}" for k in range(4004)]
+        other = list(words)
+        for k in range(88 if p % 2 else 90):  # each changed word changes five shingles: 0.802 or 0.798
+            other[20 + 40 * k] = f"x{rng.integers(10**9)}"
+        made += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(other))]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(Scratch(spark, "t"), docs).collect()) == brute_near(made)
+
+
 def brute_cut(docs, n):
     seen = collections.defaultdict(list)
     for i, t in docs:

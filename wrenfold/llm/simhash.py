@@ -83,6 +83,8 @@ def clusters(scratch: Scratch, prints: DataFrame, id_col: str = "doc_id") -> Dat
 #: Shingle length, similarity, bands and values in a band of the MinHash signature, hashes kept of a text, rounds in
 #: which a bucket's members meet one of them before all pairs that are still in different groups meet.
 N, SIMILARITY, BANDS, BAND, KEPT, ROUNDS = 5, 0.8, 20, 5, 1024, 5
+#: Estimates of KEPT hashes between these are settled on all shingles; 0.8 is over six standard errors away from both.
+DOUBT = (0.72, 0.88)
 #: Members of a bucket that are compared with as many others at a time.
 MEMBERS = 128
 _FACTORS = mix(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -105,7 +107,7 @@ def window_hashes_rows(rows: np.ndarray) -> np.ndarray:
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """The Jaccard similarity of two texts' shingles by their sketches: exact for up to KEPT shingles."""
+    """The Jaccard similarity of two texts' shingles by their sketches: exact for under KEPT shingles, else an estimate."""
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
     if not len(x) or not len(y):
         return float(len(x) == len(y))
@@ -119,6 +121,19 @@ def similarity(a: bytes, b: bytes) -> float:
     return float(twice.sum()) / n
 
 
+def sure(a: bytes, b: bytes) -> bool | None:
+    """Whether two texts are similar enough, by their sketches; None if only all of their shingles can tell."""
+    s = similarity(a, b)
+    if max(len(a), len(b)) < 4 * KEPT:  # both sketches are whole
+        return s >= SIMILARITY
+    return None if DOUBT[0] < s < DOUBT[1] else s >= SIMILARITY
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """The distinct shingle hashes of a text's word hashes, sorted."""
+    return np.unique(window_hashes(words, min(N, len(words)), N)) if len(words) else np.zeros(0, np.uint64)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k: hash of id and text, id, node: hash of the words, fp, bands, kept) of every whole text."""
 
@@ -138,20 +153,57 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _verified(edges: DataFrame, kept: DataFrame) -> DataFrame:
-    """Of edges (a, b) those whose texts are similar enough."""
+    """(a, b, sure): of edges (a, b) those whose texts are similar enough, and, not sure, those that sketches cannot tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [similarity(x, y) >= SIMILARITY for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            near = [sure(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x is True for x in near], pa.bool_())], ["a", "b", "sure"])
+            yield out.filter(pa.array([x is not False for x in near], pa.bool_()))
 
     both = edges.join(kept.select(F.col("node").alias("a"), F.col("kept").alias("x")), "a").join(kept.select(F.col("node").alias("b"), F.col("kept").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, sure boolean")
+
+
+def _settled(scratch: Scratch, judged: DataFrame, texts: DataFrame, lead: DataFrame, name: str) -> DataFrame:
+    """(a, b): the pairs of judged (a, b, sure) that are similar enough; those not sure are compared by all shingles.
+
+    texts: (k, t) of all rows. Only those of unsure pairs are hashed again.
+    """
+    judged = scratch.put(judged, f"judged-{name}")
+    known, doubt = judged.where("sure").select("a", "b"), judged.where("NOT sure").select("a", "b").distinct()
+    if doubt.isEmpty():
+        return known
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1):
+            words = Words(b.column(1), lower=True)
+            full = [shingles(words.hash[a:z]).tobytes() for a, z in zip(words.first[:-1], words.first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(full, pa.binary())], ["node", "full"])
 
-def _cell_links(here: int, x: int, y: int, block: np.ndarray, node: np.ndarray, root: np.ndarray, bands: np.ndarray, kept: list[bytes]) -> list[tuple[int, int]]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both / (len(x) + len(y) - both) >= SIMILARITY)
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    wanted = doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(lead, "node").select("node", F.col("lead.k").alias("k"))
+    full = scratch.put(texts.join(wanted, "k").select("node", "t").mapInArrow(hashed, "node long, full binary"), f"full-{name}")
+    of = lambda end, col: full.select(F.col("node").alias(end), F.col("full").alias(col))
+    found = doubt.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
+    out = scratch.put(known.unionByName(found), f"settled-{name}")
+    scratch.drop(f"full-{name}", f"judged-{name}")
+    return out
+
+
+def _cell_links(here: int, x: int, y: int, block: np.ndarray, node: np.ndarray, root: np.ndarray, bands: np.ndarray, kept: list[bytes]) -> list[tuple[int, int, bool]]:
     """Links that join the groups of a cell: members of block x meet those of block y, but for pairs that are linked already.
 
+    The third value is false for pairs that sketches cannot tell.
+
     A pair that shares several buckets is compared in the smallest of them alone.
     """
     sets = [np.frombuffer(k, "<u4") for k in kept]
@@ -172,16 +224,19 @@ def _cell_links(here: int, x: int, y: int, block: np.ndarray, node: np.ndarray,
         flag[own] = 0
         near = both / (sizes[i] + sizes[js] - both) >= SIMILARITY
         for k in np.flatnonzero(np.maximum(sizes[js], sizes[i]) >= KEPT).tolist():  # sketches of longer texts
-            near[k] = similarity(kept[i], kept[js[k]]) >= SIMILARITY
+            known = sure(kept[i], kept[js[k]])
+            near[k] = bool(known)
+            if known is None:
+                out.append((int(node[i]), int(node[js[k]]), False))
         for j in js[near].tolist():
             if group[j] != group[i]:
-                out.append((int(node[i]), int(node[j])))
+                out.append((int(node[i]), int(node[j]), True))
                 group[group == group[j]] = group[i]
     return out
 
 
 def _rest(bucket: DataFrame, root: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): links between the groups of each bucket, from all pairs of its members in different groups.
+    """(a, b, sure): links between the groups of each bucket, from all pairs of its members in different groups.
 
     Members are dealt into blocks of about MEMBERS, those of the bucket's largest group apart: these need not meet each
     other. Each two blocks that have to meet do so in a cell of their own, so no task holds a whole bucket.
@@ -203,9 +258,10 @@ def _rest(bucket: DataFrame, root: DataFrame, nodes: DataFrame) -> DataFrame:
             for here, x, y, at, to in zip(*(b.column(c).to_pylist() for c in range(3)), ends[:-1], ends[1:], strict=True):
                 block, node, root, bands, kept = (members.values.field(c).slice(at, to - at) for c in range(5))
                 out += _cell_links(here, x, y, block.to_numpy(), node.to_numpy(), root.to_numpy(), np.array(bands.to_pylist(), np.int64), kept.to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(2)], ["a", "b"])
+            cols = [pa.array([r[c] for r in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "sure"])
 
-    return cells.select("bucket", "cell.x", "cell.y", "members").mapInArrow(run, "a long, b long")
+    return cells.select("bucket", "cell.x", "cell.y", "members").mapInArrow(run, "a long, b long, sure boolean")
 
 
 def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +284,9 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
     of = lambda name: prints.select(F.col("fp").alias(name), F.col("one").alias(f"{name}_node"))
     balls = ends.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     same = nodes.join(prints, "fp").where("node != one").select(F.col("one").alias("a"), F.col("node").alias("b"))
-    links = scratch.put(_verified(balls.unionByName(same), kept), "links-0")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(id_col, text).alias("k"), text.alias("t")).where(F.length("t") >= KEPT)
+    links = _settled(scratch, _verified(balls.unionByName(same), kept), texts, lead, "0")
     bucket = nodes.select("node", F.explode("bands").alias("bucket"))
     crowded = bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     bucket = scratch.put(bucket.join(crowded, "bucket"), "buckets")
@@ -237,12 +295,12 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
         of_group = bucket.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         pivot = of_group.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket", "p")
         tried = of_group.join(pivot, "bucket").where("root != p.root").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-        found = scratch.put(_verified(tried, kept), f"links-{turn}")
+        found = _settled(scratch, _verified(tried, kept), texts, lead, str(turn))
         if found.isEmpty():
             break
         links = links.unionByName(found)
         root = scratch.put(components(scratch, links, f"cc-{turn}"), f"root-{turn}")
-    found = scratch.put(_rest(bucket, root, nodes), "links-rest")
+    found = _settled(scratch, _rest(bucket, root, nodes), texts, lead, "rest")
     if not found.isEmpty():
         root = scratch.put(components(scratch, links.unionByName(found), "cc-rest"), "root-rest")
     grouped = lead.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("lead").alias("lead"))
