@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import html
+import itertools
 import math
 import re
 
@@ -371,6 +372,16 @@ def test_decontamination(spark, sf, odd, empty):
     assert decontam.overlaps(odd, bench.where("false")).where(F.size("items") > 0).count() == 0 and decontam.overlaps(odd, bench).count() == len(ODD) and decontam.overlaps(empty, bench).count() == 0
 
 
+def test_masks_hit_every_pattern():
+    """Of 12 to 25 words each choice of a fifth of them leaves one mask whole somewhere."""
+    for n in range(decontam.SPAN, 26):
+        left = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 5)])
+        for mask in decontam.MASKS:
+            for at in range(n - max(mask)):
+                left = left[left & sum(1 << (at + i) for i in mask) != 0]
+        assert not len(left), n
+
+
 def test_best_overlap():
     rng = np.random.default_rng(3)
     for _ in range(300):

@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks keep six of up to twelve words and ignore the rest, so a hit stands although words between were
-substituted. Seeds of the benchmark are looked up for every place of every text; around each hit, on its diagonal, the
+substituted. Of 12 to 25 words every pattern of at most a fifth substituted leaves one of the masks whole, and a longer
+run holds such a part (of its halves one has at least the same share). Seeds of the benchmark are looked up for every place of every text; around each hit, on its diagonal, the
 overlap is scored and kept if at least 80 % of at least 13 words (or the whole item, if shorter) are equal.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import Shared, Words, mask_hashes, pieces, table
 
-MASKS = ((0, 1, 3, 6, 7, 10), (0, 2, 3, 4, 8, 9), (0, 1, 2, 5, 7, 8), (0, 3, 4, 5, 6, 11))
+MASKS = ((0, 1, 3, 6, 7, 10), (0, 2, 3, 4, 8, 9), (0, 1, 2, 5, 7, 8), (0, 3, 4, 5, 6, 11), (0, 6, 8, 9, 10, 11), (0, 1, 2, 4, 5, 9))
 SPAN = 12
 MIN_WORDS = 13
 SHARE = 0.8
