@@ -382,6 +382,20 @@ def test_masks_hit_every_pattern():
         assert not len(left), n
 
 
+def test_short_items(spark):
+    """Items of 1 to 12 words, with each choice of a fifth of their words substituted, and with one more."""
+    items, docs, want = [], [], {}
+    for n in range(1, 13):
+        words = [f"item{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for spare in (n // 5, n // 5 + 1):
+            for out in itertools.combinations(range(n), spare):
+                docs.append((len(docs), " ".join(["before", "it", *("zz" if k in out else x for k, x in enumerate(words)), "after"])))
+                want[docs[-1][0]] = [n] if spare == n // 5 else []
+    found = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: r["items"] for r in found.collect()} == want
+
+
 def test_best_overlap():
     rng = np.random.default_rng(3)
     for _ in range(300):

@@ -8,6 +8,7 @@ overlap is scored and kept if at least 80 % of at least 13 words (or the whole i
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ MASKS = ((0, 1, 3, 6, 7, 10), (0, 2, 3, 4, 8, 9), (0, 1, 2, 5, 7, 8), (0, 3, 4,
 SPAN = 12
 MIN_WORDS = 13
 SHARE = 0.8
-#: Items under so many words cannot be told from chance: they mark no document.
+#: Items under so many words have no word to spare: they are found where all of their words stand in order.
 LEAST_ITEM = 5
 #: Characters of benchmark text held at a time; more come in further passes over the texts.
 BLOCK_CHARS = 32_000_000
@@ -34,19 +35,29 @@ def _plain(text: str) -> F.Column:
     return F.regexp_replace(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[^\p{L}\p{N}\x20\x09-\x0D]+", " ")
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of an item of n < SPAN words: of two parts more than words may be substituted, all but as many."""
+    spare = n - math.ceil(SHARE * n - 1e-9)
+    parts = [p.tolist() for p in np.array_split(np.arange(n), spare + 2)] if spare else [list(range(n))]
+    return [tuple(x for p in some for x in p) for some in itertools.combinations(parts, len(parts) - spare)]
+
+
 class Seeds:
     """The seeds of a block of benchmark items: sorted hashes, and item and place of each."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         words = Words(pa.array(texts, pa.large_string()))
         self.ids, self.items = ids, [words.hash[a:z] for a, z in zip(words.first[:-1], words.first[1:], strict=True)]
-        short = sorted({len(w) for w in self.items if LEAST_ITEM <= len(w) < SPAN})
-        self.masks = [*MASKS, *(tuple(range(n)) for n in short)]
+        self.sizes = np.array([len(w) for w in self.items], np.int64)
+        short = sorted({n for n in self.sizes.tolist() if 0 < n < SPAN})
+        #: (mask, its hash's seed, words of the items it is for: 0 for all of SPAN or more)
+        self.masks = [*((mask, m, 0) for m, mask in enumerate(MASKS)), *((mask, 100 + 10 * n + m, n) for n in short for m, mask in enumerate(short_masks(n)))]
         hs, item, place = [], [], []
         for k, w in enumerate(self.items):
-            for m, mask in enumerate(self.masks):
-                if len(w) >= SPAN if m < len(MASKS) else len(w) == len(mask):
-                    hs.append(h := mask_hashes(w, mask, m if m < len(MASKS) else 100 + len(mask)))
+            for mask, seed, n in self.masks:
+                if len(w) == n or not n and len(w) >= SPAN:
+                    h = mask_hashes(w, mask, seed)
+                    hs.append(h := h[:1] if n else h)
                     item.append(np.full(len(h), k))
                     place.append(np.arange(len(h)))
         h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
@@ -59,8 +70,8 @@ class Seeds:
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in words, item, place in the item) of every seed that is found."""
         out = []
-        for m, mask in enumerate(self.masks):
-            h = mask_hashes(words, mask, m if m < len(MASKS) else 100 + len(mask))
+        for mask, seed, _ in self.masks:
+            h = mask_hashes(words, mask, seed)
             at = np.flatnonzero(self.there[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(self.h, h[at], "left"), np.searchsorted(self.h, h[at], "right")
             at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
@@ -91,7 +102,8 @@ def _overlaps(seeds: Seeds, words: np.ndarray, hits: list[tuple[int, int]]) -> l
     for item, shift in hits:
         w = seeds.items[item]
         a, z = max(0, -shift), min(len(w), len(words) - shift)
-        n = best_overlap(w[a:z] == words[a + shift : z + shift])
+        same = w[a:z] == words[a + shift : z + shift]
+        n = len(w) if len(same) == len(w) <= MIN_WORDS and same.sum() >= SHARE * len(w) - 1e-9 else best_overlap(same)
         if n >= min(MIN_WORDS, len(w)):
             best[item] = max(best.get(item, 0), n)
     return sorted(best.items())
@@ -100,7 +112,8 @@ def _overlaps(seeds: Seeds, words: np.ndarray, hits: list[tuple[int, int]]) -> l
 def overlaps(rows: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """rows with items array<long> (benchmark items that the text overlaps, in order) and overlap int (words, the most).
 
-    Null and empty texts, and an empty benchmark, overlap nothing. An item id that is null is left out; items that
+    Items of under 13 words have to be there as a whole: 80 % of their words, so all words of an item of one to four (a
+    common word as an item marks every document that has it). Null and empty texts, and an empty benchmark, overlap nothing. An item id that is null is left out; items that
     share an id count as one.
     """
     spark = rows.sparkSession
@@ -121,6 +134,10 @@ def overlaps(rows: DataFrame, bench: DataFrame, text_col: str = "text", item_col
                 at, item, place = s.hits(words.hash)
                 doc = np.searchsorted(words.first, at, "right") - 1
                 shift = at - words.first[doc] - place
+                exact = np.flatnonzero(s.sizes[item] < LEAST_ITEM)  # one place in a document is enough
+                _, once = np.unique(np.stack((doc[exact], item[exact])), axis=1, return_index=True)
+                keep = np.concatenate((np.flatnonzero(s.sizes[item] >= LEAST_ITEM), exact[once]))
+                doc, item, shift = doc[keep], item[keep], shift[keep]
                 own: dict[int, set[tuple[int, int]]] = {}
                 for d, i, x in {*zip(doc.tolist(), item.tolist(), shift.tolist(), strict=True)}:
                     own.setdefault(d, set()).add((i, x))
