@@ -434,3 +434,19 @@ def test_words():
     assert (sliced.hash == w.hash).all()
     long = "y" * 1_200_000
     assert Words(pa.array([long + " a"])).hash[-1] == w.hash[0]
+
+
+def test_long_words(spark):
+    """A word of more than a hash block is one word with one hash, wherever it lies."""
+    import pyarrow as pa
+
+    long = "".join(map(chr, np.random.default_rng(5).integers(97, 123, 1_200_000)))
+    texts = [long, "a " * 70_001 + long + " b", long * 3, long[:-1], long, long + "\n" + long * 3]
+    w = Words(pa.array(texts), spans=True)
+    assert list(w.counts()) == [len(t.split()) for t in texts] and w.begin[-1] - w.end[-2] == 1
+    assert w.hash[0] == w.hash[70_002] == w.hash[-3] == w.hash[-2] != w.hash[-4] and w.hash[-1] == w.hash[70_004] != w.hash[0]
+    assert b"".join(w.buf[a:z].tobytes() for a, z in zip(w.begin, w.end, strict=True)) == "".join("".join(texts).split()).encode()
+    same = " ".join(f"w{k}" for k in range(20))
+    df = spark.createDataFrame([(1, f"{same} {long}"), (2, f"x {long} {same} y")], "doc_id long, text string")
+    out = {r.doc_id: r for r in substring.cut(df, substring.repeated(Scratch(spark, "t"), df), joined=True).collect()}
+    assert (out[1].n_words, out[1].n_removed, out[2].n_words, out[2].n_removed) == (21, 0, 23, 20) and out[2].text == f"x {long} y"

@@ -165,12 +165,13 @@ class Words:
         if Words._pow is None:
             Words._pow, Words._inv = powers(_BASE, 2 * _BLOCK), powers(pow(_BASE, -1, 1 << 64), 2 * _BLOCK)
         hashes, starts, ends, at = [], [], [], 0
+        begun: tuple[int, int, int] | None = None  # the sum, bytes and begin of a word that goes on in the next block
         edge = np.zeros(len(buf) + 1, bool)
         edge[offs] = True
         while at < len(buf):
             to = min(at + _BLOCK, len(buf))
             while to < len(buf) and to - at < 2 * _BLOCK - 1 and not (_SPACE[buf[to]] or edge[to]):
-                to += 1  # a block ends where a word ends; words of over half a MB are cut, alike everywhere
+                to += 1  # a block ends where a word ends, if that is not too far
             part = buf[at:to]
             solid = ~_SPACE[part]
             near = np.concatenate(([False], solid, [False]))
@@ -178,9 +179,17 @@ class Words:
             e = np.flatnonzero(solid & (~near[2:] | edge[at + 1 : to + 1])) + 1
             run = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(((_LOWER[part] if lower else part).astype(np.uint64) + np.uint64(1)) * Words._pow[: len(part)], out=run[1:])
-            hashes.append(mix((run[e] - run[s]) * Words._inv[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-            starts.append(s + at)
-            ends.append(e + at)
+            total, size, s, e = (run[e] - run[s]) * Words._inv[s], (e - s).astype(np.uint64), s + at, e + at
+            if begun:  # the first word of this block is its next part
+                total[0] = (begun[0] + int(total[0]) * pow(_BASE, begun[1], 1 << 64)) & _M64
+                size[0] += np.uint64(begun[1])
+                s[0], begun = begun[2], None
+            if to < len(buf) and not (_SPACE[buf[to - 1]] or _SPACE[buf[to]] or edge[to]):
+                begun = (int(total[-1]), int(size[-1]), int(s[-1]))
+                total, size, s, e = total[:-1], size[:-1], s[:-1], e[:-1]
+            hashes.append(mix(total + size * np.uint64(0xD6E8FEB86659FD93)))
+            starts.append(s)
+            ends.append(e)
             at = to
         none = np.zeros(0, np.int64)
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
