@@ -294,6 +294,25 @@ def test_near_duplicates_of_a_crowded_bucket(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.deduplicated(Scratch(spark, "t"), docs).collect()) == brute_near(made)
 
 
+def test_near_duplicates_by_fingerprints_alone(spark, monkeypatch):
+    """With bands that never meet, all pairs of nodes whose fingerprints are equal or two bits apart are verified."""
+    real = simhash.sketch
+
+    def apart(h):
+        bands, kept = real(h)
+        return [hash((b, kept)) >> 1 for b in bands], kept
+
+    monkeypatch.setattr(simhash, "sketches", lambda docs, id_col, text_col: docs.sparkSession.createDataFrame(made, "k long, id long, node long, fp long, bands array<long>, kept binary"))
+    rng = np.random.default_rng(6)
+    one, two, three = (rng.integers(0, 1 << 63, 300, dtype=np.uint64) for _ in range(3))
+    rows = [(0, one), (0, two), (0, two[:290]), (1, three), (2, three[:290]), (3, one[:290]), (2, np.zeros(0, np.uint64))]
+    made = [(k, k, 10 + k, fp, *apart(np.sort(h))) for k, (fp, h) in enumerate(rows)]
+    got = simhash.near_duplicates(Scratch(spark, "t"), spark.createDataFrame([], "doc_id long, text string"))
+    assert sorted(r.k for r in got.collect()) == [0, 1, 3, 6]
+    prints = spark.createDataFrame([(0,), (1,), (3,), (7,), (-1,)], "fp long")
+    assert sorted(map(tuple, simhash.ball_pairs(prints).collect())) == [(0, 1), (0, 3), (1, 3), (1, 7), (3, 7)]
+
+
 def test_near_duplicates_of_long_texts(spark):
     """Pairs of 4000 shingles, similar by little more or less than 0.8: a sample of 1024 would misjudge some."""
     rng, made = np.random.default_rng(4), []

@@ -58,10 +58,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"{id_col} long, fp long")
 
 
+def _ball(prints: DataFrame) -> DataFrame:
+    """(fp, v): each fingerprint with the values at most one bit away."""
+    near = F.transform(F.sequence(F.lit(-1), F.lit(63)), lambda i: F.when(i < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
+    return prints.select("fp", F.explode(near).alias("v"))
+
+
+def ball_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): all pairs of distinct fingerprints (column fp) two or fewer bits apart, a before b."""
+    before = F.collect_list("fp").over(Window.partitionBy("v").orderBy("fp").rowsBetween(Window.unboundedPreceding, -1))
+    return _ball(prints).select(F.col("fp").alias("b"), before.alias("before")).where(F.size("before") > 0).select(F.explode("before").alias("a"), "b").distinct()
+
+
 def ball_links(prints: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) two or fewer bits apart, enough to reach all such pairs."""
-    near = F.transform(F.sequence(F.lit(-1), F.lit(63)), lambda i: F.when(i < 0, F.col("fp")).otherwise(F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
-    ball = prints.select("fp", F.explode(near).alias("v"))
+    ball = _ball(prints)
     pairs = ball.select(F.col("fp").alias("b"), F.lag("fp").over(Window.partitionBy("v").orderBy("fp")).alias("a"))
     return pairs.where(F.col("a").isNotNull() & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b").distinct()
 
@@ -204,7 +215,7 @@ def _cell_links(here: int, x: int, y: int, block: np.ndarray, node: np.ndarray,
 
     The third value is false for pairs that sketches cannot tell.
 
-    A pair that shares several buckets is compared in the smallest of them alone.
+    A pair that shares several bands is compared in the smallest of their buckets alone.
     """
     sets = [np.frombuffer(k, "<u4") for k in kept]
     sizes = np.array([len(s) for s in sets])
@@ -215,7 +226,7 @@ def _cell_links(here: int, x: int, y: int, block: np.ndarray, node: np.ndarray,
         js = np.flatnonzero((block == y) & (group != group[i]))
         js = js[js > i] if x == y else js
         common = np.where(bands[js] == bands[i], bands[js], np.iinfo(np.int64).max).min(axis=1)
-        js = js[common == here]
+        js = js[(common == here) | (common == np.iinfo(np.int64).max)]  # in no band: a bucket of fingerprints
         if not len(js):
             continue
         own = ids[starts[i] : starts[i] + sizes[i]]
@@ -271,7 +282,7 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
     0.8 or more are linked. Candidates are the fingerprint links of ball hashing and, as two bits of 64 reach only
     similarities near 1, the buckets of a banded MinHash signature. First, in a few rounds, every member meets one
     member, chosen anew by a hash, of those buckets that still hold several groups, which joins most of a large family
-    by few comparisons. Then all pairs of a bucket that are still in different groups are compared. Null and empty texts
+    by few comparisons; a fingerprint, and each two of them within two bits, are buckets too. Then all pairs of a bucket that are still in different groups are compared. Null and empty texts
     are copies of each other.
     """
     every = scratch.put(sketches(docs, id_col, text_col), "sketches")
@@ -279,8 +290,8 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
     nodes = scratch.put(every.select("node", "fp", "bands", "kept").dropDuplicates(["node"]), "nodes")
     scratch.drop("sketches")
     kept = nodes.select("node", "kept")
-    prints = nodes.groupBy("fp").agg(F.min("node").alias("one"))
-    ends = ball_links(prints)
+    prints = scratch.put(nodes.groupBy("fp").agg(F.min("node").alias("one"), F.count("*").alias("n")), "prints")
+    ends = scratch.put(ball_pairs(prints), "balls")
     of = lambda name: prints.select(F.col("fp").alias(name), F.col("one").alias(f"{name}_node"))
     balls = ends.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     same = nodes.join(prints, "fp").where("node != one").select(F.col("one").alias("a"), F.col("node").alias("b"))
@@ -288,6 +299,8 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
     texts = docs.select(F.xxhash64(id_col, text).alias("k"), text.alias("t")).where(F.length("t") >= KEPT)
     links = _settled(scratch, _verified(balls.unionByName(same), kept), texts, lead, "0")
     bucket = nodes.select("node", F.explode("bands").alias("bucket"))
+    close = ends.select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array("a", "b")).alias("fp")).unionByName(prints.where("n > 1").select(F.xxhash64("fp").alias("bucket"), "fp"))
+    bucket = bucket.unionByName(nodes.where(F.size("bands") > 0).select("node", "fp").join(close, "fp").select("node", "bucket"))
     crowded = bucket.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     bucket = scratch.put(bucket.join(crowded, "bucket"), "buckets")
     root = scratch.put(components(scratch, links, "cc-0"), "root-0")
