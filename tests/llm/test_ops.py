@@ -137,6 +137,18 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, none).count() == 0
 
 
+def test_warc_tasks(spark, tmp_path, monkeypatch):
+    """Each range is a task's, though adaptive execution would put such small rows together."""
+    (tmp_path / "a").write_bytes(b"x" * 1000)
+    (tmp_path / "b").write_bytes(b"x" * 2000)
+    (tmp_path / "c").write_bytes(b"")
+    got = warc.ranges(spark, f"file://{tmp_path}", 100).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 30 and len({r.task for r in got}) == 30 and sum(r.stop - r.start for r in got) == 3000
+    monkeypatch.setattr(warc, "MOST_TASKS", 7)
+    got = collections.Counter(r.task for r in warc.ranges(spark, f"file://{tmp_path}", 100).withColumn("task", F.spark_partition_id()).collect())
+    assert len(got) == 7 and max(got.values()) <= 6
+
+
 def test_urls(spark):
     urls = ["http://X.Example.com/en/7?x", "http://example.com/en/8", "https://com/en/", "https://xcom/en/", "ftp://a.net/de/8#f", "http://a.example.net/de/81", "no scheme", "", None, "http://h", "://?", "http://a.org/es/x/://b"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumns({"host": F.lit(1), "token": F.lit(1)})

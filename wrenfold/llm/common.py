@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.staging import shared_dir
+
 #: Set while a scratch table is written: the shuffle files of that job go when it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -34,16 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's, else a new one (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        made = tempfile.mkdtemp(prefix="wrenfold-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found := f"file://{made}")
-    return found.rstrip("/")
-
-
 def plus(df: DataFrame, *names: str, **more: str) -> StructType:
     """The schema of df's columns `names` (all, if none are given) and more columns: name=type."""
     out = StructType([df.schema[n] for n in names or df.columns])
@@ -66,7 +55,10 @@ class Shared:
 
 
 class Scratch:
-    """Tables of one run of an operator. A table cuts lineage, so a lost executor costs no more than its last step."""
+    """Tables of one run of an operator. A table cuts lineage, so a lost executor costs no more than its last step.
+
+    Operators drop those that their result doesn't read. release() drops the rest, once the result is used.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
@@ -91,9 +83,15 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Deletes tables of this run that nothing reads any more."""
+        self._delete(*map(self.path, names))
+
+    def release(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, *paths: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
 
 

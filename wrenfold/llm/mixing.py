@@ -30,7 +30,7 @@ def n_words(text: str) -> Column:
 
 
 def targets(sources: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """For (skey, source, source_size): target (double) and budget (long). One row a source goes through one task."""
+    """For (skey, source, source_size): target (double) and budget (long). All sources go through one task, a row each: fine for some millions."""
     order = Window.orderBy(F.col("source").isNull(), "source")
     place = (F.row_number().over(order) - 1) % len(weights)
     weight = F.element_at(F.array(*map(F.lit, weights)), place + 1).cast("long")
@@ -51,13 +51,13 @@ def targets(sources: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGH
 def mix(scratch: Scratch, rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", seed: int = SEED) -> DataFrame:
     """rows with source_size, target, budget and taken: the words that the mix takes of each row, repeats counted.
 
-    A null source is a source; null ids share a key and are ordered by size; rows of size 0 take nothing; repeated
+    A null source is a source; the keys of null ids come from their sizes; rows of size 0 take nothing; repeated
     rows are taken each on its own; no rows give no rows. Columns that have the added names are replaced.
     """
     rows = rows.drop(*ADDED, "_skey", "_hkey", "_cell", "_base", "_before")
     bits = min(30, max(0, math.ceil(math.log2(max(1, rows.count()) / CELL_ROWS))))
     rows = rows.withColumn("_skey", F.when(F.col(source_col).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_col))))
-    rows = rows.withColumn("_hkey", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
+    rows = rows.withColumn("_hkey", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.col(size_col).cast("string"))))))
     rows = rows.withColumn("_cell", F.shiftright(F.conv(F.substring("_hkey", 1, 8), 16, 10).cast("long"), 32 - bits))
     cells = rows.groupBy("_skey", "_cell").agg(F.first(source_col).alias("source"), F.sum(size_col).alias("cell_size"))
     cells = scratch.put(cells.withColumnRenamed("_skey", "skey"), "cells")
@@ -65,6 +65,7 @@ def mix(scratch: Scratch, rows: DataFrame, id_col: str = "doc_id", source_col: s
     earlier = Window.partitionBy("skey").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     base = cells.select("skey", "_cell", F.coalesce(F.sum("cell_size").over(earlier), F.lit(0)).alias("_base")).join(goal, "skey")
     base = scratch.put(base.withColumnRenamed("skey", "_skey"), "base")
+    scratch.drop("cells")
     inside = Window.partitionBy("_skey", "_cell").orderBy("_hkey", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(base, ["_skey", "_cell"]).withColumn("_before", F.col("_base") + F.coalesce(F.sum(size_col).over(inside), F.lit(0)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
@@ -81,8 +82,8 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                  md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hkey FROM documents),
+WITH d AS (SELECT doc_id, source, size, md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || size)) AS hkey
+      FROM (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents)),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, CAST([5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS BIGINT) AS weight, 3 * source_size AS most FROM s),
 p AS (SELECT *, sum(source_size) OVER () AS t, sum(weight) OVER () AS w,

@@ -26,7 +26,8 @@ from .common import Scratch, table
 #: Smaller payloads are all written whole.
 LEAST_BYTES = 1000
 MEMBER_BYTES = 8 << 20
-RANGE_BYTES = 32 << 20
+#: Bytes of a range, and reading tasks at most; beyond, a task takes several ranges in turn.
+RANGE_BYTES, MOST_TASKS = 32 << 20, 1 << 15
 _READ = 1 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _URN = "urn:page:"
@@ -81,6 +82,7 @@ def write(scratch: Scratch, pages: DataFrame, name: str = "warc", id_col: str =
 
     with scratch.cleaning():
         rows.mapInArrow(run, "r binary").select(F.col("r").cast("string").alias("value")).write.option("lineSep", "\0").text(scratch.path(name))
+    scratch.drop(f"{name}-revisits")
     return scratch.path(name)
 
 
@@ -159,13 +161,21 @@ def row_of(fields: dict[str, str], block: bytes) -> tuple:
     return ident(fields["WARC-Record-ID"]), size, digest.hex(), fields["WARC-Type"], ident(fields.get("WARC-Refers-To"))
 
 
-def read(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """A row for every record of the folder's archives. An archive of any length is read by many tasks."""
+def ranges(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, start, stop): the byte ranges of a folder's archives, a partition each (of up to MOST_TASKS).
+
+    The number of partitions is given, since rows as small as these would be put together by adaptive execution.
+    """
     files = spark.read.format("binaryFile").load(folder).select("path", "length").where("length > 0")
+    n = files.agg(F.sum(F.ceil(F.col("length") / range_bytes))).first()[0] or 1
     step = F.lit(range_bytes).cast("long")
-    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step)).alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.col("start") + step, F.col("length")).alias("stop"))
-    ranges = ranges.repartition("path", "start")
+    # from one partition, so that dealing in turn is even; a row a file
+    each = files.repartition(1).select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step)).alias("start"))
+    return each.select("path", "start", F.least(F.col("start") + step, F.col("length")).alias("stop")).repartition(int(min(n, MOST_TASKS)))
+
+
+def read(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """A row for every record of the folder's archives. An archive of any length is read by many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
@@ -177,7 +187,7 @@ def read(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> Da
                         rows.append(row_of(fields, block))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate(kinds)], names)
 
-    return ranges.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return ranges(spark, folder, range_bytes).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
