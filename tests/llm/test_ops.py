@@ -427,12 +427,71 @@ def test_short_items(spark):
     assert {r.doc_id: r["items"] for r in found.collect()} == want
 
 
+def brute_overlap(words, item):
+    """The longest run, ending with an equal word, of 80 % equal words on any diagonal; 0 if it is too short."""
+    best = 0
+    for shift in range(1 - len(item), len(words)):
+        a, z = max(0, -shift), min(len(item), len(words) - shift)
+        same = [item[k] == words[k + shift] for k in range(a, z)]
+        if 10 * sum(same) < 8 * min(13, len(item)):
+            continue  # too few for any run that counts
+        if z - a == len(item) <= 13 and 10 * sum(same) >= 8 * len(item):
+            best = len(item)
+        total = np.concatenate(([0], np.cumsum([2 if x else -8 for x in same])))
+        for e in (k + 1 for k, x in enumerate(same) if x):
+            best = max(best, e - int(np.flatnonzero(total[:e] <= total[e])[0]))
+    return best if best >= min(13, len(item)) else 0
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_decontamination_against_brute_force(spark, sf, monkeypatch, joined):
+    """Both ways: every document and item of sf0.01, and planted parts with substituted words; by broadcast and by shuffle."""
+    if joined:
+        monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+        monkeypatch.setattr(decontam, "BROADCAST_FOUND", 0)
+    big, rng = sf.replace("sf0.001", "sf0.01"), np.random.default_rng(7)
+    bench = table(spark, big, "benchmark").select("item_id", "text")
+    items = {r.item_id: plain(r.text) for r in bench.collect()}
+    docs = [(r.doc_id, plain(r.text)) for r in table(spark, big, "documents").select("doc_id", "text").collect()]
+    docs = docs[::4] if joined else docs
+    for k in range(400):  # 12 to 30 words of an item, a sixth to a quarter of them substituted
+        w = items[int(rng.integers(len(items)))]
+        n = min(int(rng.integers(12, 31)), len(w))
+        at = int(rng.integers(len(w) - n + 1))
+        part = list(w[at : at + n])
+        for x in rng.choice(n, int(n * rng.choice([0.17, 0.2, 0.25])), replace=False):
+            part[x] = "zz"
+        docs.append((100_000 + k, ["some", "words", *part, "and", "more"]))
+    got = {r.doc_id: (r["items"], r.overlap) for r in decontam.overlaps(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), bench).collect()}
+    number, some = {}, 0
+    code = lambda w: np.array([number.setdefault(x, len(number)) for x in w], np.int64)
+    coded = {i: code(w) for i, w in items.items()}
+    for d, w in docs:
+        text, want = code(w), {}
+        for i, item in coded.items():
+            x, y = np.nonzero(text[:, None] == item[None, :])
+            if len(x) and np.bincount(x - y + len(item)).max() >= 0.8 * min(13, len(item)):  # as many equal words on a diagonal
+                if n := brute_overlap(text.tolist(), item.tolist()):
+                    want[i] = n
+        some += bool(want)
+        assert got[d] == (sorted(want), max(want.values(), default=0)), d
+    assert some > 200
+
+
+def test_decontamination_of_repeated_words(spark):
+    """Texts and items of one word, and of two in turn: places multiply, memory and time don't."""
+    docs = [(1, "a " * 500_000), (2, "a b " * 20_000), (3, "c " * 100), (1, "a " * 500_000)]
+    bench = spark.createDataFrame([(1, "a " * 500), (2, "a b " * 250), (3, "c"), (4, "b a " * 20)], "item_id long, text string")
+    out = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r["items"], r.overlap) for r in out) == [(1, [1], 500), (1, [1], 500), (2, [2, 4], 500), (3, [3], 1)]
+
+
 def test_best_overlap():
     rng = np.random.default_rng(3)
-    for _ in range(300):
+    for _ in range(500):
         same = rng.random(rng.integers(1, 40)) < rng.choice([0.5, 0.8, 0.95])
-        want = max([z - a for a in range(len(same)) for z in range(a + 1, len(same) + 1) if same[a:z].sum() >= decontam.SHARE * (z - a) - 1e-9] or [0])
-        assert abs(decontam.best_overlap(same) - want) <= max(0, want // 4) and decontam.best_overlap(same) <= want
+        want = max([z - a for a in range(len(same)) for z in range(a + 1, len(same) + 1) if same[z - 1] and 10 * same[a:z].sum() >= 8 * (z - a)] or [0])
+        assert decontam.best_overlap(same) == want
 
 
 # --- nearest vectors --------------------------------------------------------------------------------------------------
