@@ -43,7 +43,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap no benchmark item."""
-    return _aside(docs, {"items", "overlap", "_plain"}, lambda d: decontam.overlaps(d, table(spark, sf_dir, "benchmark")).where(F.size("items") == 0))
+    return _aside(docs, {"items", "overlap", "_wrenfold_k"}, lambda d: decontam.overlaps(d, table(spark, sf_dir, "benchmark")).where(F.size("items") == 0))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
