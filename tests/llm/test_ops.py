@@ -7,6 +7,7 @@ import html
 import itertools
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -90,26 +91,83 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def test_html_page():
-    assert html_text.main_text(PAGE, set()) == "Tést & more\n\none\n\ntwo bold x\n\na\n\nb"
-    assert html_text.main_text("", set()) == "" and html_text.main_text("plain &lt; text", set()) == "plain < text"
-    assert html_text.main_text("<article><p>a<p>b</article", set()) == "a\n\nb" and html_text.main_text("<p>" * 5000 + "x", set()) == "x"
+    assert html_text.main_text(PAGE) == "Tést & more\n\none\n\ntwo bold x\n\na\n\nb"
+    assert html_text.main_text("") == "" and html_text.main_text("plain &lt; text") == "plain < text"
+    assert html_text.main_text("<article><p>a<p>b</article") == "a\n\nb" and html_text.main_text("<p>" * 5000 + "x") == "x"
 
 
 def test_style_tree_removes_what_repeats(spark):
-    pages = [(i, f"http://h.example/{i}", f"<body><div class='x1'><p>Same line on each page</p></div><div class='y'><p>Own text {i}</p><p>more {i * 7}</p></div></body>") for i in range(20)]
-    pages += [(100, "http://one.example/", "<body><div class='x1'><p>Same line on each page</p></div></body>"), (101, None, None), (101, None, None)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"text": F.lit(1), "host": F.lit("c"), "path": F.lit("c")})
+    pages = [(i, f"http://h.example/{i}", f"<body><div class='x1'><p>Same line on each page</p></div><div class='y'>" + "".join(f"<p>Own text {i * k} " + f"w{i} " * (i * k % 40) + "</p>" for k in range(1, 2 + i % 5)) + "</div></body>") for i in range(40)]
+    pages += [(100, "http://one.example/", "<body><div class='z1'><p>Same line on each page</p></div></body>"), (101, None, None), (101, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"text": F.lit(1), "host": F.lit("c"), "path": F.lit("c"), "id": F.lit(1), "_key": F.lit(1)})
     got = collections.Counter((r.page_id, r.text) for r in html_text.extract(Scratch(spark, "t"), df).collect())
-    assert got[3, "Own text 3\n\nmore 21"] == 1 and got[100, "Same line on each page"] == 1 and got[101, ""] == 2
+    own = lambda i: "\n\n".join(" ".join(f"Own text {i * k} {f'w{i} ' * (i * k % 40)}".split()) for k in range(1, 2 + i % 5))
+    assert all(got[i, own(i)] == 1 for i in range(40)) and got[100, "Same line on each page"] == 1 and got[101, ""] == 2 and html_text.extract(Scratch(spark, "t"), df.where("false")).count() == 0
 
 
-def test_html_against_plain_reading(spark, sf):
+def brute_importance(pages, by_host=True):
+    """The importance of the nodes of pages (host, html), without Spark; hosts are put together if by_host is false."""
+    feats = collections.defaultdict(lambda: collections.defaultdict(collections.Counter))
+    for h, source in pages:
+        for i, kind, f in html_text.page_features(source):
+            feats[(h, i) if by_host else i][kind][f] += 1
+    out = {}
+    for node, x in feats.items():
+        m = sum(x["s"].values())
+        entropy = -sum(c / m * math.log(c / m) for c in x["s"].values())
+        spread = [sum(c * math.log(c) for c in x[k].values()) / sum(x[k].values()) / math.log(max(m, 2)) for k in "aw" if x[k]]
+        told = 1 - (sum(spread) / len(spread) if spread else 1)
+        weight = html_text.GAMMA ** len(x["s"])
+        out[node] = (m, 1.0 if m == 1 else (1 - weight) * min(1, entropy / math.log(min(max(m, 2), html_text.BASE))) + weight * told)
+    if not by_host:
+        return out
+    every = brute_importance(pages, False)
+    return {(h, i): ((m - 1) * v + html_text.PRIOR_PAGES * every[i][1]) / (m - 1 + html_text.PRIOR_PAGES) for (h, i), (m, v) in out.items()}
+
+
+def test_style_tree_against_brute_force(spark, sf):
+    pages = [(r.host, r.html) for r in table(spark, sf, "pages").select(urlfilter.host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).collect()]
+    want = brute_importance(pages)
+    got = {(r.host, r.id): r.importance for r in html_text.style_tree(spark.createDataFrame(pages, "host string, html string")).collect()}
+    assert got == pytest.approx(want) and len(got) > 300
+
+
+def read_articles(spark, sf):
     """The tables' pages: what stands in the article element, read by patterns."""
-    source = {r.page_id: r.html for r in table(spark, sf, "pages").collect()}
-    for r in html_text.op2_html_text(spark, sf).collect():
-        body = source[r.page_id].partition("<article>")[2].partition("</article>")[0]
+    out = {}
+    for r in table(spark, sf, "pages").collect():
+        body = (r.html or "").partition("<article>")[2].partition("</article>")[0]
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", body)]
-        assert r.text == "\n\n".join(x for x in blocks if x) and r.n_chars == len(r.text)
+        out[r.page_id] = "\n\n".join(x for x in blocks if x)
+    return out
+
+
+def test_html_against_plain_reading(spark, sf):
+    want = read_articles(spark, sf)
+    for r in html_text.op2_html_text(spark, sf).collect():
+        assert r.text == want[r.page_id] and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("rows", [html_text.BROADCAST_ROWS, 0])
+def test_style_tree_without_names(spark, sf, monkeypatch, rows):
+    """With all lists of names switched off, the tree alone takes menus, adverts and footers off the pages; by broadcast and by shuffle."""
+    monkeypatch.setattr(html_text, "BROADCAST_ROWS", rows)
+    big = sf.replace("sf0.001", "sf0.01")
+    want = read_articles(spark, big)
+    got = {r.page_id: r.text for r in html_text.extract(Scratch(spark, "t"), table(spark, big, "pages"), prior=False).collect()}
+    assert sum(got[k] == want[k] for k in want) / len(want) > 0.95
+    assert not any(html_text.main_text(r.html, prior=False) == want[r.page_id] for r in table(spark, big, "pages").collect())
+
+
+def test_hostile_pages():
+    """Depth, unmatched closers, odd quotes and unclosed tags cost no more than their length."""
+    pages = ["<div>" * 100_000 + "x", "<div>x" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "x", "<a '" * 50_001 + "x", "<a " * 100_000 + '"', "<!--" * 100_000, "<script>" * 100_000, "&" * 300_000, "<p class='" + "a " * 200_000 + "'>x", "<td>" * 100_000, "<li><ul>" * 50_000]
+    for source in pages:
+        began = time.perf_counter()
+        html_text.main_text(source)
+        html_text.page_features(source)
+        assert time.perf_counter() - began < 5, source[:20]
+    assert html_text.main_text("<div>" * 100_000 + "x") == "x" and html_text.main_text("<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "x") == "x"
 
 
 def test_warc(spark, tmp_path):
