@@ -243,19 +243,82 @@ def test_language_held_out(spark, sf, odd, empty):
 
 
 def test_toxicity_held_out(spark, sf, odd):
-    got = toxicity.op6_toxicity(spark, sf.replace("sf0.001", "sf0.1")).where("held_out").join(table(spark, sf.replace("sf0.001", "sf0.1"), "labels"), "doc_id").select("toxic", "predicted").collect()
-    hit = collections.Counter((r.toxic, r.predicted) for r in got)
-    assert hit[1, 1] / (hit[1, 1] + hit[1, 0]) > 0.85 and hit[0, 1] / (hit[0, 0] + hit[0, 1]) < 0.02
+    big = sf.replace("sf0.001", "sf0.1")
+    docs, labels = table(spark, big, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")), table(spark, big, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"))
+    model = toxicity.fit(Scratch(spark, "t"), docs, labels.where("y IS NOT NULL"))
+    got = toxicity.rate(docs.join(labels.where(langid.held_out("id")), "id").withColumnRenamed("t", "text"), model).select("y", "score").collect()
+    hit = collections.Counter((r.y, r.score >= 0.5) for r in got)
+    assert hit[1, True] / (hit[1, True] + hit[1, False]) > 0.85 and hit[0, True] / (hit[0, False] + hit[0, True]) < 0.02
+    # the lexicon is learned: words of English, stems of other languages; the given list is no part of it
+    assert {u for u in model.lexicon if u.startswith("=") and u[1:] not in toxicity.INSULTS or not u.startswith("=")} and all(v < 1 for v in model.lexicon.values())
     model = toxicity.fit(Scratch(spark, "t"), odd.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).where("false"), spark.createDataFrame([], "id long, y int"))
+    assert set(model.lexicon) == {f"={w}" for w in toxicity.INSULTS}
     out = toxicity.rate(odd, model).collect()
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
+    clash = odd.select(F.col("doc_id").alias("id"), F.col("text").alias("t"), F.lit(1).alias("y"), F.lit(1).alias("us"), F.lit(1).alias("k"))
+    again = toxicity.fit(Scratch(spark, "t"), clash, spark.createDataFrame([(i, i % 2) for i in range(1, 9)] + [(None, 1), (3, None)], "id long, y int"))
+    assert 0 <= again.score((0.0,) * 6) <= 1
 
 
 def test_grammar():
     s = toxicity.Scorer({f"={w}": 1.0 for w in toxicity.INSULTS})
     plain, negated, said, quoted, aimed = (s.clause(x) for x in ("an idiot", "he is not an idiot", "she said he is an idiot", 'the word "idiot"', "you idiot"))
     assert aimed > plain > max(said, quoted) > negated > 0 and s.clause("i will kill you") > 1 > s.clause("kill the process") == 0
-    assert s.features("") == (0, 0, 0) and s.features("nice day. you idiot! fine")[2] == math.log1p(1)
+    assert s.features("") == (0,) * 6 and s.features("nice day. you idiot! fine") == (math.log1p(1), math.log1p(1), 0, 0, 0, 1.5)
+
+
+def test_composed_machine():
+    """The composed machine against its three parts run in turn, over random clauses."""
+    rng = np.random.default_rng(8)
+    for without in ((), ("negation",), ("report",), ("target",), toxicity.PARTS):
+        machine = toxicity.grammar(without)
+        for _ in range(400):
+            symbols = "".join(rng.choice(list("ITYNRQOO"), rng.integers(0, 14)))
+            state, got, kinds = machine.start, 0.0, ""
+            for x in symbols:
+                state, out, w = machine.step(state, x)
+                got, kinds = got + w, kinds + out
+            # by hand: negated within three words, then said by others, then aimed
+            left, said, quote, far, seen, want = [], False, False, 99, None, 0.0
+            for x in symbols:
+                far = 0 if x == "N" else far + 1
+                y = x.lower() if x in "IT" and far <= 3 and "negation" not in without else x
+                if "report" not in without:
+                    said, quote = said or y == "R", quote != (y == "Q")
+                    y = {"I": "p", "T": "q"}.get(y, y) if said or quote else y
+                left.append(y)
+            for y in left:
+                if y == "I":
+                    want, seen = want + (1.5 if seen == "Y" else 1.0), "Y" if seen == "Y" else "I"
+                elif y == "T":
+                    want, seen = want + (1.2 if seen == "Y" else 0.0), "Y" if seen == "Y" else "T"
+                elif y == "Y" and "target" not in without:
+                    want, seen = want + {"I": 0.5, "T": 1.2}.get(seen, 0.0), "Y"
+                else:
+                    want += {"i": 0.05, "t": 0.05, "p": 0.25, "q": 0.25}.get(y, 0.0)
+            assert got == pytest.approx(want), (symbols, kinds, without)
+
+
+def test_grammar_tells_what_words_cannot(spark):
+    """Where clean and toxic texts have the same words, aimed or negated and reported: each part of the grammar adds."""
+    rng, docs, labels = np.random.default_rng(9), [], []
+    words = [f"w{k}" for k in range(300)] + ["again", "are", "will", "that", "the"] * 12
+    some = lambda n: " ".join(rng.choice(words, n))
+    toxic = ["you are {0} again", "they are the {0}", "that {0} again", "i will {1} you", "we will {1} them again"]
+    clean = ["you are not {0} again", "they are never the {0}", "she said that {0} again", 'you are "{0}" again', "i will not {1} you", "he said we will {1} them again", "that will {1} the w1"]
+    for i in range(3000):
+        frame = rng.choice(toxic if i % 2 else clean)
+        docs.append((i, f"{some(12)}. {frame.format(rng.choice(['blorf', 'snark', 'gnarl']), rng.choice(['kill', 'burn']))}. {some(9)}."))
+        labels.append((i, i % 2))
+    df, known = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(labels, "id long, y int")
+    right = {}
+    for without in ((), *((x,) for x in toxicity.PARTS), toxicity.PARTS):
+        model = toxicity.fit(Scratch(spark, "t"), df, known, without)
+        got = toxicity.rate(df.join(known, "id").where(langid.held_out("id")), model, "t").collect()
+        right[without] = sum((r.score >= 0.5) == (r.y == 1) for r in got) / len(got)
+        if not without:
+            assert {"=blorf", "=snark", "=gnarl"} <= set(model.lexicon)
+    assert right[()] > 0.98 and all(v < 0.95 for k, v in right.items() if k) and right[toxicity.PARTS] < 0.8, right
 
 
 # --- near duplicates and repeats --------------------------------------------------------------------------------------

@@ -2,11 +2,14 @@
 
 Words become symbols (insult, threat, target, negation, report, quote mark, other). Three transducers read a clause's
 symbols: negation turns insults and threats shortly after "not" into harmless ones, reported speech marks those said by
-others or quoted, and the last weighs what is left by whether the clause has a target. They are composed into one
-machine, which scores the clauses of a text; a logistic function over the clause scores gives the probability.
-
-The word classes are given, but for insults: word forms and stems that tell toxic training texts are added to them,
-chosen from a bounded sample by greedy cover, so that copies of one text don't bring in all of its words.
+others or quoted, and the last tells what is left by whether the clause has a target. They are composed into one
+machine. Each kind of match that it puts out (insult, aimed, threat, negated, reported) sums up over the clauses of a
+text; the kinds' weights make a clause's score, and a logistic function of the sums and the best clause the probability.
+
+Insults are learned: word forms and stems that tell toxic training texts, in any language, where they are not negated or
+reported, chosen from a bounded sample by greedy cover, so that copies of one text don't bring in all of its words. The given insults stand in where there are
+no labels. The kinds' weights are learned with the grammar's own as their prior: what training texts don't hold (a
+negated insult, say) keeps the weight that the grammar gives it.
 """
 
 from __future__ import annotations
@@ -20,16 +23,14 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, Shared, pieces, plus, table
 from .langid import held_out
 
-#: Labelled rows that are learned from, by label, at most about this many; stems that the model holds at most,
-#: and units looked at, the most frequent of toxic texts.
-SAMPLE, MOST_STEMS, MOST_UNITS = {1: 4000, 0: 12000}, 2000, 400_000
+#: Labelled rows that are learned from, by label, at most about this many.
+SAMPLE = {1: 4000, 0: 12000}
 PRECISION, LEAST_COVER, PURE = 0.9, 2, 24
 #: After the first, so many turns of cover, for stems that tell at least this part of the toxic texts again.
 TURNS, AGAIN = 4, 0.01
@@ -75,6 +76,12 @@ class Transducer:
 
 #: I insult, T threat, Y target, N negation, R report, Q quote mark, O other; i, t: negated; p, q: reported.
 SYMBOLS = "ITYNRQO"
+#: What the last transducer puts out, and how much of each kind that is: insult, aimed at a target, threat with a
+#: target, negated, reported. J, U: an insult or threat that finds a target; a, b: a target that finds one of them.
+KINDS = {"I": (1, 0, 0, 0, 0), "J": (1, 1, 0, 0, 0), "a": (0, 1, 0, 0, 0), "U": (0, 0, 1, 0, 0), "b": (0, 0, 1, 0, 0), "i": (0, 0, 0, 1, 0), "t": (0, 0, 0, 1, 0), "p": (0, 0, 0, 0, 1), "q": (0, 0, 0, 0, 1)}
+#: The grammar's weights of the kinds.
+WEIGHTS = (1.0, 0.5, 1.2, 0.05, 0.25)
+PARTS = ("negation", "report", "target")
 
 
 def negation(reach: int = 3) -> Transducer:
@@ -99,33 +106,63 @@ def reported() -> Transducer:
     return t
 
 
-def target() -> Transducer:
-    """Weighs what is left: an insult counts by itself and more with a target, a threat only with one."""
+def target(aim: bool = True) -> Transducer:
+    """Tells what is left: an insult counts by itself and more with a target, a threat only with one. aim: targets count."""
     t = Transducer("none")
-    for state, seen in (("none", 0.0), ("target", 1.0), ("insult", 0.0), ("threat", 0.0)):
-        t.moves[state, "I"] = ("target" if seen else "insult", "I", 1.0 + 0.5 * seen)
-        t.moves[state, "T"] = ("target" if seen else "threat", "T", 1.2 * seen)
-        t.moves[state, "Y"] = ("target", "Y", {"insult": 0.5, "threat": 1.2}.get(state, 0.0))
-        for s, w in (("i", 0.05), ("t", 0.05), ("p", 0.25), ("q", 0.2)):
-            t.moves[state, s] = (state, s, w)
+    weight = lambda kind: sum(w * k for w, k in zip(WEIGHTS, KINDS.get(kind, (0,)), strict=False))
+    for state, seen in (("none", False), ("target", True), ("insult", False), ("threat", False)):
+        moves = {"I": ("J", "target") if seen else ("I", "insult"), "T": ("U", "target") if seen else ("T", "threat")}
+        moves |= {"Y": ({"insult": "a", "threat": "b"}.get(state, "Y"), "target")} if aim else {}
+        moves |= {s: (s, state) for s in "itpq"}
+        for s, (kind, to) in moves.items():
+            t.moves[state, s] = (to, kind, weight(kind))
     return t
 
 
-def grammar() -> Transducer:
-    return negation().compose(reported(), SYMBOLS).compose(target(), SYMBOLS)
+def grammar(without: tuple[str, ...] = ()) -> Transducer:
+    """The composed machine; parts in `without` are left out, to see what they do."""
+    return excuses(without).compose(target("target" not in without), SYMBOLS)
+
+
+def sorted_out(word: str) -> str:
+    """The symbol of a word or quote mark that needs no lexicon; O for all others."""
+    if word in '"“”„«»':
+        return "Q"
+    return "T" if word in THREATS else "N" if word in NEGATIONS else "R" if word in REPORTS else "Y" if word in TARGETS else "O"
+
+
+def excuses(without: tuple[str, ...] = ()) -> Transducer:
+    """The first two transducers, composed: what is negated or reported."""
+    first = Transducer(0) if "negation" in without else negation()
+    return first.compose(Transducer("no") if "report" in without else reported(), SYMBOLS)
 
 
-def units(text: str) -> set[str]:
-    """The words of a text (as =word) and their stems of 3 to 8 letters."""
-    words = {w for w in (m[0] for m in _TOKENS.finditer(text.lower())) if len(w) >= 3 and not w.isdigit()}
+def units(text: str, machine: Transducer) -> set[str]:
+    """Words of a text (as =word) and their stems of 3 to 8 letters, but those of the grammar's other classes.
+
+    Any word might be an insult: those that the machine finds negated or reported tell nothing of the text.
+    """
+    words: set[str] = set()
+    for clause in _CLAUSE.split(text.lower()):
+        found = _TOKENS.findall(clause)
+        symbols = [sorted_out(w) for w in found]
+        if {"N", "R", "Q"}.isdisjoint(symbols):
+            words.update(w for w, s in zip(found, symbols, strict=True) if s == "O")
+            continue
+        state = machine.start
+        for w, s in zip(found, symbols, strict=True):
+            state, kind, _ = machine.step(state, "I" if s == "O" else s)
+            if kind == "I":
+                words.add(w)
+    words = {w for w in words if len(w) >= 3 and not w.isdigit()}
     return {f"={w}" for w in words} | {w[:n] for w in words for n in _STEM if len(w) > n}
 
 
 class Scorer:
-    """Scores texts with the grammar and a lexicon: word (=word) or stem -> weight."""
+    """Reads texts with the grammar and a lexicon: word (=word) or stem -> how surely it is an insult."""
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.machine = lexicon, grammar()
+    def __init__(self, lexicon: dict[str, float], without: tuple[str, ...] = ()):
+        self.lexicon, self.machine = lexicon, grammar(without)
         self.hits = ahocorasick.Automaton()
         for x in {*(k.lstrip("=") for k in lexicon), *THREATS}:
             self.hits.add_word(x, x)
@@ -135,49 +172,62 @@ class Scorer:
     def weight(self, word: str) -> float:
         return max(self.lexicon.get(f"={word}", 0.0), max((self.lexicon.get(word[:n], 0.0) for n in _STEM if len(word) > n), default=0.0))
 
+    def symbol(self, word: str) -> tuple[str, float]:
+        if w := self.weight(word):
+            return "I", w
+        return sorted_out(word), 1.0
+
+    def matches(self, clause: str) -> list[float]:
+        """How much of each kind the machine puts out, and last the sum of the weights that it adds up."""
+        state, out, sure = self.machine.start, [0.0] * (len(WEIGHTS) + 1), 1.0
+        for m in _TOKENS.finditer(clause):
+            s, part = self.symbol(m[0])
+            state, kind, w = self.machine.step(state, s)
+            if kind in KINDS:
+                sure = part if s == "I" else sure  # a target that comes after counts as much as the insult it finds
+                for k, x in enumerate(KINDS[kind]):
+                    out[k] += x * sure
+                out[-1] += w * sure
+        return out
+
     def clause(self, text: str) -> float:
-        state, total = self.machine.start, 0.0
-        for m in _TOKENS.finditer(text):
-            word, part = m[0], 1.0
-            if word in '"“”„«»':
-                s = "Q"
-            elif w := self.weight(word):
-                s, part = "I", w
-            else:
-                s = "T" if word in THREATS else "N" if word in NEGATIONS else "R" if word in REPORTS else "Y" if word in TARGETS else "O"
-            state, _, w = self.machine.step(state, s)
-            total += w * part
-        return total
-
-    def features(self, text: str) -> tuple[float, float, float]:
-        """The best clause's score, the log of the sum of scores, and the log of the number of clauses that match."""
+        return self.matches(text)[-1]
+
+    def features(self, text: str) -> tuple[float, ...]:
+        """The logarithm of each kind's sum over the clauses, and the score of the best clause."""
         low = text.lower()
         ends = [e for e, _ in self.hits.iter(low)] if len(self.hits) else []
-        if not ends:
-            return 0.0, 0.0, 0.0
-        cuts = [0, *(m.end() for m in _CLAUSE.finditer(low)), len(low)]
-        where = sorted({int(k) for k in np.searchsorted(cuts, ends, "right") - 1})
-        scores = [s for k in where if (s := self.clause(low[cuts[k] : cuts[k + 1]])) > 0]
-        return max(scores, default=0.0), math.log1p(sum(scores)), math.log1p(len(scores))
+        total, best = [0.0] * len(WEIGHTS), 0.0
+        if ends:
+            cuts = [0, *(m.end() for m in _CLAUSE.finditer(low)), len(low)]
+            for k in sorted({int(k) for k in np.searchsorted(cuts, ends, "right") - 1}):
+                *kinds, score = self.matches(low[cuts[k] : cuts[k + 1]])
+                total, best = [a + b for a, b in zip(total, kinds, strict=True)], max(best, score)
+        return (*(math.log1p(x) for x in total), best)
+
+
+#: What the logistic function's weights are drawn to: a constant, the kinds, the best clause.
+PRIOR = (-3.0, *(3 * w for w in WEIGHTS), 1.0)
 
 
 @dataclass
 class Model:
     lexicon: dict[str, float]
     weights: list[float]
+    without: tuple[str, ...] = ()
 
-    def score(self, x: tuple[float, float, float]) -> float:
+    def score(self, x: tuple[float, ...]) -> float:
         z = self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], x, strict=True))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
-    """Ridge logistic regression by Newton steps."""
-    x = np.concatenate((np.ones((len(x), 1)), x), axis=1)
-    w, keep = np.zeros(x.shape[1]), np.diag([1e-3, *[ridge] * (x.shape[1] - 1)])
+    """Logistic regression by Newton steps, weights drawn to PRIOR."""
+    x, prior = np.concatenate((np.ones((len(x), 1)), x), axis=1), np.array(PRIOR)
+    w, keep = prior.copy(), np.diag([1e-3, *[ridge] * (x.shape[1] - 1)])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ (w - prior))
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -188,7 +238,7 @@ def _cover(own: dict[str, set[int]], left: set[int], precision: dict[str, float]
     """Stems, best first, that each tell at least `least` more of the texts `left`."""
     out, worth = [], lambda u, n: n * precision[u] ** PURE
     gain = {u: worth(u, len(v & left)) for u, v in own.items()}
-    while left and gain and len(out) < MOST_STEMS:
+    while left and gain:
         while True:  # gains only fall, so the first whose gain is up to date is the best
             u = max(gain, key=lambda k: (gain[k], k[0] == "=", -len(k), k))
             now = worth(u, n := len(own[u] & left))
@@ -223,64 +273,71 @@ def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Ids are chosen by a hash among the labels; they are few enough, by SAMPLE, to be broadcast to the texts.
     """
-    labels = labels.where(~held_out("id") & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").cast("int").alias("y"))
+    labels = labels.select("id", "y").where(~held_out("id") & F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").cast("int").alias("y"))
     n = {r.y: r.n for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chance = F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1 << 30)) / float(1 << 30)
     some = labels.where(chance < F.when(F.col("y") == 1, SAMPLE[1] / max(1, n.get(1, 0))).otherwise(SAMPLE[0] / max(1, n.get(0, 0))))
-    found = docs.where("t IS NOT NULL").join(F.broadcast(some), "id")
+    found = docs.select("id", "t").where("t IS NOT NULL").join(F.broadcast(some), "id")
     # equal texts count once
     return found.groupBy(F.sha2("t", 256).alias("k")).agg(F.first("t").alias("t"), F.max("y").alias("y")).select("t", "y")
 
 
-def _counted(only: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (t) to (u, n): in how many texts each unit is; only those broadcast, if any. Counts are summed before rows leave the task."""
+def _counted(machine: Transducer) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (t) to (u, n): in how many texts each unit is. Counts are summed before rows leave the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["u", "n"])
         for b in pieces(batches, 0):
             for t in b.column(0).to_pylist():
-                counts.update(units(t) & only.value if only else units(t))
-            if len(counts) > 500_000:
-                yield out()
-                counts.clear()
+                counts.update(units(t, machine))
+                if len(counts) > 500_000:
+                    yield out()
+                    counts.clear()
         yield out()
 
     return run
 
 
-def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on a bounded sample of docs (id, t) with labels (id, y: 0/1). Without labels, the given words alone count."""
-    given, context = {f"={w}": 1.0 for w in INSULTS}, docs.sparkSession.sparkContext
-    rows = scratch.put(sampled(docs, labels), "sample")
-    n = rows.where("y = 1").count()
-    # what several toxic texts have, and then how often clean texts have it
-    toxic = rows.where("y = 1").select("t")
-    most = toxic.mapInArrow(_counted(None), "u string, n long").groupBy("u").agg(F.sum("n").alias("tox")).where(F.col("tox") >= max(LEAST_COVER, n // 1000))
-    tox = {r.u: r.tox for r in most.orderBy(F.desc("tox"), "u").limit(MOST_UNITS).collect()}
-    asked = context.broadcast(frozenset(tox))
-    clean = {r.u: r.n for r in rows.where("y = 0").select("t").mapInArrow(_counted(asked), "u string, n long").groupBy("u").agg(F.sum("n").alias("n")).collect()}
-    precision = {u: (k + 0.5) / (k + clean.get(u, 0) + 1) for u, k in tox.items() if k >= PRECISION * (k + clean.get(u, 0))}
-    known = context.broadcast(frozenset(precision))
+def learned(scratch: Scratch, rows: DataFrame, without: tuple[str, ...] = ()) -> dict[str, float]:
+    """The insults that tell the toxic ones of rows (t, y): word or stem -> precision."""
+    context, machine = scratch.spark.sparkContext, excuses(without)
+    toxic, clean = rows.where("y = 1").select("t"), rows.where("y = 0").select("t")
+    least = max(LEAST_COVER, toxic.count() // 1000)
+    count = lambda df, name: df.mapInArrow(_counted(machine), "u string, n long").groupBy("u").agg(F.sum("n").alias(name))
+    # what several toxic texts have and clean ones hardly do
+    both = count(toxic, "tox").where(F.col("tox") >= least).join(count(clean, "clean"), "u", "left").fillna(0, ["clean"])
+    telling = {r.u: (r.tox + 0.5) / (r.tox + r.clean + 1) for r in both.where(F.col("tox") >= PRECISION * (F.col("tox") + F.col("clean"))).collect()}
+    known = context.broadcast(frozenset(telling))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(units(t) & known.value) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], ["us"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(units(t, machine) & known.value) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], ["us"])
+
+    return cover(sorted(list(r.us) for r in toxic.mapInArrow(pick, "us array<string>").collect()), telling)
 
-    lexicon = given | cover(sorted(list(r.us) for r in toxic.mapInArrow(pick, "us array<string>").collect()), precision)
-    shared = context.broadcast(lexicon)
+
+def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, without: tuple[str, ...] = ()) -> Model:
+    """Fits on a bounded sample of docs (id, t) with labels (id, y: 0/1).
+
+    Without toxic labels the given insults and the grammar's weights count; `without` leaves out parts of the grammar.
+    """
+    rows = scratch.put(sampled(docs, labels), "sample")
+    lexicon = learned(scratch, rows, without) or {f"={w}": 1.0 for w in INSULTS}
+    shared = Shared(scratch.spark, lexicon)
 
     def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Scorer(shared.value)
+        s = Scorer(shared.value, without)
         for b in pieces(batches, 0):
-            x = [s.features(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([v[i] for v in x], pa.float64()) for i in range(3)), b.column(1)], ["a", "b", "c", "y"])
+            x = [list(s.features(t)) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
-    got = sorted(map(tuple, rows.mapInArrow(feats, "a double, b double, c double, y int").collect()))
-    if len({r[3] for r in got}) < 2:
-        return Model(lexicon, [-3.0, 6.0, 0.0, 0.0])
+    got = sorted((r.y, *r.x) for r in rows.mapInArrow(feats, "x array<double>, y int").collect())
+    scratch.drop("sample")
+    if len({r[0] for r in got}) < 2:
+        return Model(lexicon, list(PRIOR), without)
     x = np.array(got)
-    return Model(lexicon, _logistic(x[:, :3], x[:, 3]))
+    return Model(lexicon, _logistic(x[:, 1:], x[:, 0]), without)
 
 
 def rate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -291,7 +348,7 @@ def rate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        scorer = Scorer(m.lexicon)
+        scorer = Scorer(m.lexicon, m.without)
         for b in pieces(batches, at):
             texts = b.column(at)
             score = [m.score(scorer.features(t.as_py() or "")) for t in texts]
