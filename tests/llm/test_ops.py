@@ -618,9 +618,11 @@ def test_best_overlap():
 # --- nearest vectors --------------------------------------------------------------------------------------------------
 
 
-def test_topk(spark, monkeypatch):
+@pytest.mark.parametrize("groups", [topk.GROUPS, 4])
+def test_topk(spark, monkeypatch, groups):
     monkeypatch.setattr(topk, "SLICE", 16)
     monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "GROUPS", groups)
     rng = np.random.default_rng(2)
     v = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(150)] + [(i, [0.5] * 8) for i in range(150, 260)]
     v += [(300, None), (320, [1.0, None]), (340, [float("nan")] * 8), (360, [float("inf")] * 8), (380, []), (400, [0.1] * 3), (None, [0.1] * 8), (20, v[20][1]), (420, [-3.0] * 8)]
@@ -635,6 +637,29 @@ def test_topk(spark, monkeypatch):
     assert set(got) == {i for i in fine if i % 20 == 0} and topk.search(Scratch(spark, "t"), df.where("false")).count() == 0
 
 
+def test_topk_opens_little_of_clusters(spark, monkeypatch):
+    """The share of vectors that queries meet: little of clustered vectors, all of those that fill the space evenly."""
+    monkeypatch.setattr(topk, "SLICE", 64)
+    rng, share = np.random.default_rng(11), {}
+    centres = rng.normal(0, 1, (60, 64))
+    clustered = centres[rng.integers(0, 60, 6000)] + rng.normal(0, 0.1, (6000, 64))
+    for name, x in (("clustered", clustered), ("even", rng.normal(0, 1, (6000, 64)))):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        compared = spark.sparkContext.accumulator(0)
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        got = collections.defaultdict(list)
+        for r in topk.search(Scratch(spark, "t"), df, compared=compared).collect():
+            got[r.query_id].append((r.rank, r.vec_id, r.score))
+        share[name] = compared.value / (300 * 6000)
+        whole = np.floor(64 * x).astype(np.int64)
+        for q in range(0, 6000, 20):
+            scores = whole @ whole[q]
+            best = sorted((-int(scores[i]), i) for i in np.argsort(-scores)[:60].tolist() if i != q)[:20]
+            assert [(s, i) for _, i, s in sorted(got[q])][:5] == [(-s, i) for s, i in best][:5] and sorted(s for _, _, s in got[q]) == sorted(-s for s, _ in best)
+    print(share)
+    assert share["clustered"] < 0.1 and share["even"] <= 1.01, share
+
+
 def test_words():
     import pyarrow as pa
 
