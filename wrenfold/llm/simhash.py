@@ -275,6 +275,19 @@ def _rest(bucket: DataFrame, root: DataFrame, nodes: DataFrame) -> DataFrame:
     return cells.select("bucket", "cell.x", "cell.y", "members").mapInArrow(run, "a long, b long, sure boolean")
 
 
+def _joined(scratch: Scratch, root: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """(node, root) after more links (a, b): only the groups that these join are worked on."""
+    at = lambda end: root.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    both = found.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    ends = both.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a != b")
+    to = scratch.put(components(scratch, ends, f"cc-{name}"), f"to-{name}")
+    new = to.select(F.col("node").alias("was"), F.col("root").alias("to"))
+    # ends that had no link before are nodes of their own; the rest of `to` are roots
+    old = root.join(new, root.root == new.was, "left").select("node", F.coalesce("to", "root").alias("root"))
+    fresh = to.join(root.select("node"), "node", "left_anti")
+    return scratch.put(old.unionByName(fresh), f"root-{name}")
+
+
 def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k): xxhash64 of id and text of the documents that stay: of each group of near duplicates the one of smallest id.
 
@@ -282,8 +295,8 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
     0.8 or more are linked. Candidates are the fingerprint links of ball hashing and, as two bits of 64 reach only
     similarities near 1, the buckets of a banded MinHash signature. First, in a few rounds, every member meets one
     member, chosen anew by a hash, of those buckets that still hold several groups, which joins most of a large family
-    by few comparisons; a fingerprint, and each two of them within two bits, are buckets too. Then all pairs of a bucket that are still in different groups are compared. Null and empty texts
-    are copies of each other.
+    by few comparisons; a fingerprint, and each two of them within two bits, are buckets too. Then all pairs of a bucket that are still in different groups are compared.
+    Null and empty texts are copies of each other.
     """
     every = scratch.put(sketches(docs, id_col, text_col), "sketches")
     lead = scratch.put(every.groupBy("node").agg(F.min(F.struct("id", "k")).alias("lead")), "lead")
@@ -311,11 +324,10 @@ def near_duplicates(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", t
         found = _settled(scratch, _verified(tried, kept), texts, lead, str(turn))
         if found.isEmpty():
             break
-        links = links.unionByName(found)
-        root = scratch.put(components(scratch, links, f"cc-{turn}"), f"root-{turn}")
+        root = _joined(scratch, root, found, str(turn))
     found = _settled(scratch, _rest(bucket, root, nodes), texts, lead, "rest")
     if not found.isEmpty():
-        root = scratch.put(components(scratch, links.unionByName(found), "cc-rest"), "root-rest")
+        root = _joined(scratch, root, found, "rest")
     grouped = lead.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("lead").alias("lead"))
     return grouped.select(F.col("lead.k").alias("k"))
 
