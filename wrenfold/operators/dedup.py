@@ -35,8 +35,8 @@ def flag_duplicates(df: DataFrame, key: bytes, order: str = "_row_idx") -> DataF
 
 
 def duplicate_ids(df: DataFrame, fp: str = "email_fp", id_col: str = "id", order: str = "_row_idx") -> DataFrame:
-    """Ids of all but the first of each group."""
-    return duplicate_groups(df, fp, id_col, order).select(F.explode(F.slice("ids", 2, 1 << 30)).alias(id_col)).distinct()
+    """Ids of all but the first of each group. No group is collected: the firsts are aggregated and joined back."""
+    return keep_first(df.where(F.col(fp).isNotNull()).select(id_col, fp, order), F.col(fp), order).where("is_duplicate").select(id_col).distinct()
 
 
 def without_ids(df: DataFrame, gone: DataFrame, id_col: str = "id") -> DataFrame:
@@ -56,12 +56,30 @@ def blocks(df: DataFrame, name: str = "name", order: str = "_row_idx", size: int
     return keyed.join(last, "_key").withColumn("block", F.when(F.col(order) <= F.col("_last"), F.col("_key")).otherwise(OVERFLOW)).drop("_key", "_last")
 
 
-def similar_pairs(df: DataFrame, block: str = "block", id_col: str = "id", name: str = "name", order: str = "_row_idx", size: int = PAIR_BLOCK) -> DataFrame:
-    """JON5: (id_a, id_b, score) of pairs within a block, in order, with similar names. A block over `size` is an error."""
-    most = df.groupBy(block).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if most > size:
-        raise ValueError(f"block size {most} exceeds cap {size}")
-    left = df.select(F.col(block).alias("k"), F.col(order).alias("oa"), F.col(id_col).alias("id_a"), F.col(name).alias("na"))
-    right = df.select(F.col(block).alias("k"), F.col(order).alias("ob"), F.col(id_col).alias("id_b"), F.col(name).alias("nb"))
-    scored = left.join(right, "k").where("oa < ob").withColumn("score", fuzzy_names(F.col("na"), F.col("nb")))
+#: Records of a block that meet as many others in one cell.
+PART = 512
+
+
+def similar_pairs(df: DataFrame, block: str = "block", id_col: str = "id", name: str = "name", order: str = "_row_idx", size: int | None = PAIR_BLOCK) -> DataFrame:
+    """JON5: (id_a, id_b, score) of pairs within a block, in order, with similar names.
+
+    A block over `size` is an error; None: blocks of any size. A block's records are dealt into parts of about PART, and
+    each two parts meet in a cell of their own, so no task holds a large block. Names of which one is over twice as
+    long as the other can't be similar enough and are not compared.
+    """
+    counts = df.groupBy(block).agg(F.count("*").alias("_n"))
+    if size is not None:
+        most = counts.agg(F.max("_n")).first()[0] or 0
+        if most > size:
+            raise ValueError(f"block size {most} exceeds cap {size}")
+    counts = counts.select(F.col(block).alias("_b"), F.ceil(F.col("_n") / PART).cast("int").alias("_parts"))
+    rows = df.join(counts, F.col(block) == F.col("_b")).withColumn("_part", F.pmod(F.xxhash64(order), F.col("_parts")).cast("int"))
+    # a record goes to the cells of its part with every part; the pair of parts names the cell
+    others = F.sequence(F.lit(0), F.col("_parts") - 1)
+    celled = rows.select(F.col("_b").alias("k"), F.col(order).alias("o"), F.col(id_col).alias("id"), F.col(name).alias("n"), F.col("_part").alias("p"), F.explode(others).alias("q"))
+    celled = celled.withColumn("x", F.least("p", "q")).withColumn("y", F.greatest("p", "q")).drop("q")
+    left, right = (celled.select("k", "x", "y", F.col("p").alias(f"p{s}"), F.col("o").alias(f"o{s}"), F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
+    la, lb = F.length("na"), F.length("nb")
+    pairs = left.join(right, ["k", "x", "y"]).where("oa < ob AND (x = y OR pa != pb)").where((la <= 2 * lb) & (lb <= 2 * la))
+    scored = pairs.withColumn("score", fuzzy_names(F.col("na"), F.col("nb")))
     return scored.where(F.col("score").isNotNull()).select("id_a", "id_b", "score")

@@ -8,9 +8,12 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, NumericType, StringType
+from pyspark.sql.types import BooleanType, DataType, DoubleType, FractionalType, LongType, NumericType, StringType
 
 from ..functions.vocab import MAX_DEPTH, MAX_LIST, MAX_NODES, MAX_PATTERN, MAX_QUANTIFIERS, MAX_RULES, MAX_SUBJECT, NESTED_QUANTIFIERS, RULE_ACTIONS, RULE_FIELDS, RULE_OPERATORS, Tenant
 
@@ -137,9 +140,80 @@ def _equal(c: Column, kind: DataType | None, value: object) -> Column:
     return F.lit(False)
 
 
-def _java(pattern: str) -> str:
-    """The pattern in Java's syntax, with Unicode classes."""
-    return "(?U)" + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<")).replace(r"\Z", r"\z")
+_GROUP = re.compile(r"\(\?(?:P<(\w+)>|P=(\w+)\)|#[^)]*\)|([a-zA-Z]*)(-[a-zA-Z]+)?[:)]|(<[=!]|[=!>]))")
+_TIMES = re.compile(r"\{(?:(\d+)(,\d*)?|,(\d*))\}")
+#: Escapes that differ, outside and inside a class.
+_ESCAPES, _CLASS_ESCAPES = {"Z": r"\z", "v": r"\x0B"}, {"b": r"\x08", "v": r"\x0B"}
+
+
+def translated(pattern: str) -> str | None:
+    """The pattern in Java's syntax, with Unicode classes and \n alone as an end of line; None where Java has no such syntax."""
+    out, names, k, inside = ["(?Ud)"], {}, 0, -1  # inside: where the class began that k is in
+    while k < len(pattern):
+        c, rest = pattern[k], pattern[k:]
+        if c == "\\":
+            n = pattern[k + 1 : k + 2]
+            if n in ("N", "U") or n == "0" or re.match(r"\\[0-7]{3}", rest):
+                return None
+            out.append((_ESCAPES if inside < 0 else _CLASS_ESCAPES).get(n, c + n))
+            k += 2
+            continue
+        if inside >= 0:
+            first = k == inside + 1 or k == inside + 2 and pattern[k - 1] == "^"
+            if c == "]" and not first:
+                inside = -1
+                out.append(c)
+            else:
+                out.append(f"\\{c}" if c in "[]&" else c)
+        elif c == "[":
+            inside = k
+            out.append(c)
+        elif c == "{" and (m := _TIMES.match(rest)):
+            out.append("{0," + m[3] + "}" if m[1] is None else m[0])
+            k += len(m[0]) - 1
+        elif c in "{}":
+            out.append(f"\\{c}")
+        elif rest.startswith("(?"):
+            m = _GROUP.match(rest)
+            if not m or set((m[3] or "") + (m[4] or "")) - set("ims-"):
+                return None  # a condition, or flags that Java lacks or reads otherwise
+            if m[1]:
+                names[m[1]] = f"g{len(names)}"
+                out.append(f"(?<{names[m[1]]}>")
+            elif m[2]:
+                out.append(rf"\k<{names[m[2]]}>")
+            elif not m[0].startswith("(?#"):
+                out.append(m[0])
+            k += len(m[0]) - 1
+        else:
+            out.append(c)
+        k += 1
+    return "".join(out)
+
+
+def _compiles(pattern: str) -> bool:
+    """Whether the JVM that will run the pattern takes it."""
+    jvm = SparkContext._active_spark_context._jvm
+    try:
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
+
+
+def matches(c: Column, pattern: str) -> Column:
+    """REGEX_MATCH of text: by the JVM where it has the pattern's syntax, else by Python in Arrow batches."""
+    subject, java = F.substring(c, 1, MAX_SUBJECT), translated(pattern)
+    if java is not None and _compiles(java):
+        return subject.rlike(java)
+    log.info("pattern %r has no Java form and is matched by Python", pattern)
+
+    @F.pandas_udf(BooleanType())
+    def search(s: pd.Series) -> pd.Series:
+        find = re.compile(pattern).search
+        return s.map(lambda v: v is not None and find(v) is not None).astype(bool)
+
+    return search(subject)
 
 
 def leaf(test: Test, columns: dict[str, tuple[Column, DataType]]) -> Column:
@@ -167,7 +241,7 @@ def leaf(test: Test, columns: dict[str, tuple[Column, DataType]]) -> Column:
             tests = ([never(c.isin(*words))] if words and text else []) + [_equal(c, kind, x) for x in v if not isinstance(x, str)]
             return reduce(lambda a, b: a | b, tests, F.lit(False))
         case "REGEX_MATCH":
-            return never(F.substring(c, 1, MAX_SUBJECT).rlike(_java(v))) if text else F.lit(False)
+            return never(matches(c, v)) if text else F.lit(False)
     raise RuleError(test.operator)
 
 
@@ -183,8 +257,22 @@ def _typed(df: DataFrame) -> dict[str, tuple[Column, DataType]]:
     return {f.name: (F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields}
 
 
+def _holds(kind: DataType, value: object) -> bool:
+    """Whether a column of this type can hold the literal as it is."""
+    if value is None:
+        return True
+    if isinstance(value, bool):
+        return isinstance(kind, BooleanType)
+    if isinstance(value, int):
+        return isinstance(kind, NumericType)
+    return isinstance(kind, FractionalType) if isinstance(value, float) else isinstance(kind, StringType)
+
+
 def apply_rule(df: DataFrame, rule: Rule) -> DataFrame:
-    """RUL10-13, SUP2: one rule: what it matches, and its actions in their order."""
+    """RUL10-13, SUP2: one rule: what it matches, and its actions in their order.
+
+    A column has one type: a literal of another type that overwrites a field makes the field's column text.
+    """
     df = df.withColumn("_match", ~F.col("is_dropped") & condition(rule.root, _typed(df)))
     m, new, kinds = F.col("_match"), {}, {f.name: f.dataType for f in df.schema.fields}
     flags, queue = F.col("rule_flags"), F.col("routed_queue")
@@ -200,11 +288,12 @@ def apply_rule(df: DataFrame, rule: Rule) -> DataFrame:
         elif a.kind == "OVERWRITE_FIELD":
             if now is None:
                 value = F.lit(a.value) if a.value is not None else F.lit(None).cast("string")
-                kinds[a.field] = StringType() if a.value is None or isinstance(a.value, str) else None
-                new[a.field] = F.when(m, value)
+                kinds[a.field] = StringType() if a.value is None or isinstance(a.value, str) else BooleanType() if isinstance(a.value, bool) else DoubleType() if isinstance(a.value, float) else LongType()
+                new[a.field] = F.when(m, value.cast(kinds[a.field]))
             else:
-                value = F.lit(a.value).try_cast(kinds[a.field]) if kinds.get(a.field) is not None else F.lit(a.value)
-                new[a.field] = F.when(m, value).otherwise(now)
+                if not _holds(kinds[a.field], a.value):
+                    now, kinds[a.field] = now.cast("string"), StringType()
+                new[a.field] = F.when(m, F.lit(a.value).cast(kinds[a.field])).otherwise(now)
         elif a.kind == "ROUTE_TO_QUEUE":
             queue = F.when(m, F.lit(a.queue)).otherwise(queue)
     ids = F.when(m, F.concat("matched_rule_ids", F.array(F.lit(str(rule.rule_id))))).otherwise(F.col("matched_rule_ids"))

@@ -56,7 +56,11 @@ def throttle_burst(df: DataFrame, tenant: str, order: str, capacity: int = int(B
 
 
 def throttle_timed(df: DataFrame, tenant: str, ts: str, order: str, capacity: float = BUCKET_CAPACITY, rate: float = BUCKET_RATE) -> DataFrame:
-    """STR2 over timed records: is_throttled and throttle_tag. A tenant's records stream through a task in time order, with two numbers of state."""
+    """STR2 over timed records: is_throttled and throttle_tag.
+
+    A tenant's records stream through one task in time order, with two numbers of state: memory is bounded, but a tenant
+    is no faster than one core. Each decision hangs on all those before it, so a tenant's records can't be dealt out.
+    """
     names = [c for c in df.columns if c not in ("is_throttled", "throttle_tag")]
     rows = df.select(*names, F.col(ts).cast("timestamp").cast("double").alias("_now"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema.fields) + ", is_throttled boolean, throttle_tag string"

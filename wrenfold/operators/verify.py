@@ -7,7 +7,7 @@ import smtplib
 import socket
 import string
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,30 +70,40 @@ def probe(ip: str, host: str, sender: str, address: str) -> tuple[str, int | Non
     return ("MAILBOX_LIKELY_VALID" if 200 <= code < 300 else "MAILBOX_LIKELY_INVALID"), code
 
 
-def mx_table(domains: DataFrame) -> DataFrame:
-    """EML8, EML12: each distinct domain (column domain) resolved once, by tasks; so no breaker is needed."""
+def mx_table(domains: DataFrame, look_up: Callable[[str], tuple] = resolve) -> DataFrame:
+    """EML8, EML12: each distinct domain (column domain) resolved once, by tasks; so no breaker is needed.
+
+    look_up: domain -> (domain, exchanger, public address, tag).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([resolve(d) for d in b["domain"]], columns=["domain", "mx_host", "validated_ip", "tag"])
+            yield pd.DataFrame([look_up(d) for d in b["domain"]], columns=["domain", "mx_host", "validated_ip", "tag"])
 
     return domains.where("domain IS NOT NULL").select("domain").distinct().mapInPandas(run, MX_SCHEMA)
 
 
-def catch_all_table(mx: DataFrame, sender: str) -> DataFrame:
-    """EML10, EML11: whether each exchanger takes a random local part; a pause between probes."""
+def catch_all_table(mx: DataFrame, sender: str, ask: Callable[[str, str, str, str], tuple] = probe, gap: tuple[float, float] = GAP) -> DataFrame:
+    """EML10, EML11: whether each exchanger takes a random local part, asked once a domain.
+
+    All domains of an exchanger are one task's, in a row, with a pause between them; exchangers don't wait for each
+    other. ask: (address, exchanger, sender, recipient) -> (tag, code).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
         for b in batches:
             out = []
             for r in b.itertuples():
-                time.sleep(random.uniform(*GAP))
+                if r.mx_host == last:
+                    time.sleep(random.uniform(*gap))
+                last = r.mx_host
                 local = "".join(random.choices(string.ascii_lowercase, k=16))
-                tag, code = probe(r.validated_ip, r.mx_host, sender, f"{local}@{r.domain}")
+                tag, code = ask(r.validated_ip, r.mx_host, sender, f"{local}@{r.domain}")
                 out.append((r.domain, tag == "MAILBOX_LIKELY_VALID", tag, code))
             yield pd.DataFrame(out, columns=["domain", "catch_all", "smtp_tag", "smtp_code"])
 
-    return mx.where("validated_ip IS NOT NULL").mapInPandas(run, PROBE_SCHEMA)
+    return mx.where("validated_ip IS NOT NULL").repartition("mx_host").sortWithinPartitions("mx_host", "domain").mapInPandas(run, PROBE_SCHEMA)
 
 
 def verification_tags(ok: Column, disposable: Column, role: Column, mx_tag: Column, mx_ip: Column, catch_all: Column, smtp_tag: Column) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from ..operators.rules import run_rules
 from ..operators.throttle import throttle_burst
 from ..operators.verify import MX_SCHEMA, verify
 from ..sources.staging import staged
+from ..sources.tables import export
 
 
 @dataclass(frozen=True)
@@ -35,12 +38,25 @@ class Options:
     previous: str | None = None
 
 
-@dataclass(frozen=True)
+@dataclass
 class Result:
-    clean: DataFrame
+    """What a run gives. The report needs no audit; clean and entry, which do, make it when the first of them is asked for."""
+
     dead: DataFrame
     report: DataFrame
-    entry: AuditEntry | None
+    finish: Callable[[], tuple[DataFrame, AuditEntry | None]]
+
+    @cached_property
+    def _finished(self) -> tuple[DataFrame, AuditEntry | None]:
+        return self.finish()
+
+    @property
+    def clean(self) -> DataFrame:
+        return self._finished[0]
+
+    @property
+    def entry(self) -> AuditEntry | None:
+        return self._finished[1]
 
 
 # Fixed value: records of a batch in strict mode; otherwise there is no limit.
@@ -128,9 +144,17 @@ def run(df: DataFrame, options: Options, mx: DataFrame | None = None) -> Result:
     names = ["total_records", "clean_records_count", "duplicates_removed", "invalid_emails", "invalid_phones", "high_risk_flags", "dropped_via_rules", "throttled_count"]
     report = report.select(*names, F.lit(0).cast("long").alias("dlq_count"))
     if o.strict:
-        return Result(clean, dead, report, None)
-    out, entry = audit(clean, o.tenant_id, o.pepper, "DATA_INGESTION", o.batch_id, o.previous)
-    return Result(out, dead, report.withColumn("processing_time_ms", F.lit(round((time.monotonic() - began) * 1000, 2))), entry)
+        return Result(dead, report, lambda: (clean, None))
+    report = report.withColumn("processing_time_ms", F.lit(round((time.monotonic() - began) * 1000, 2)))
+    return Result(dead, report, lambda: audit(clean, o.tenant_id, o.pepper, "DATA_INGESTION", o.batch_id, o.previous))
+
+
+def response(result: Result, tenant_id: str, target: str, billing: dict) -> tuple[DataFrame, DataFrame]:
+    """SNK6: the clean records in the export's shape, and a row of status, what was exported, billing and the report."""
+    payload, exported = export(result.clean, tenant_id, target)
+    bill = {f"billing_{k}": F.lit(v) for k, v in billing.items() if k != "tenant_id"}
+    row = exported.withColumnRenamed("status", "export_status").crossJoin(F.broadcast(result.report.drop("processing_time_ms")))  # a row each
+    return payload, row.withColumns({"status": F.lit("success"), **bill})
 
 
 def reconciled(report: DataFrame) -> DataFrame:

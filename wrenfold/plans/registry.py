@@ -19,6 +19,7 @@ from ..operators import billing, classify, compliance, dedup, rules, summary, th
 from ..operators.contacts import CONTACTS, contacts
 from ..sources import tables
 from ..sources.staging import new_path
+from ..streaming.bucket import throttled_stream
 from . import duck as D
 from . import pipeline as PL
 
@@ -73,6 +74,12 @@ def src1(spark, d):
     return tables.read_csv(spark, path)
 
 
+@query("src2", "SELECT n_nationkey, n_name, n_regionkey, n_nationkey > 9 AS late FROM nation", False)
+def src2(spark, d):
+    tables.write_excel(read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey", (C("n_nationkey") > 9).alias("late")), path := new_path(spark, "src2") + ".xlsx")
+    return tables.read_excel(spark, path, ", ".join(f"{n} {t}" for n, t in [*read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").dtypes, ("late", "boolean")]))
+
+
 @query("src3", "SELECT c_custkey, c_name, c_acctbal FROM customer", False)
 def src3(spark, d):
     lines = read(spark, d, "customer").select(F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")).alias("line"))
@@ -267,7 +274,9 @@ _tests("rul4", {"a": (is_("sector", "NOT_CONTAINS", "urg"), "NOT contains(lower(
 _tests("rul5", {"a": (is_("risk_score", "GREATER_THAN", 150000), "risk_score > 150000"), "b": (is_("phone", "GREATER_THAN", "99999.5"), "CAST(phone AS DOUBLE) > 99999.5"), "c": (is_("is_disposable", "GREATER_THAN", 0), "false"), "e": (is_("sector", "GREATER_THAN", 0), "false")})
 _tests("rul6", {"a": (is_("risk_score", "LESS_THAN", 150000), "risk_score < 150000"), "b": (is_("phone", "LESS_THAN", 1e5), "CAST(phone AS DOUBLE) < 100000")})
 _tests("rul7", {"a": (is_("line_type", "IN_LIST", ["F", None]), "line_type IS NULL OR line_type = 'F'"), "b": (is_("sector", "IN_LIST", ["1-URGENT", 3]), "sector = '1-URGENT'"), "c": (is_("line_type", "IN_LIST", []), "false")})
-_tests("rul8", {"a": (is_("sector", "REGEX_MATCH", r"^[12]-\w+$"), r"regexp_matches(sector, '^[12]-\w+$')"), "b": (is_("line_type", "REGEX_MATCH", "F|O"), "coalesce(regexp_matches(line_type, 'F|O'), false)"), "c": (is_("risk_score", "REGEX_MATCH", "1"), "false")})
+_tests("rul8", {"a": (is_("sector", "REGEX_MATCH", r"^[12]-\w+$"), r"regexp_matches(sector, '^[12]-\w+$')"), "b": (is_("line_type", "REGEX_MATCH", "F|O"), "coalesce(regexp_matches(line_type, 'F|O'), false)"), "c": (is_("risk_score", "REGEX_MATCH", "1"), "false"),
+    # patterns that Java reads otherwise or not at all
+    "d": (is_("sector", "REGEX_MATCH", r"^\d{,1}-(?P<word_1>[A-Z[&&]+)$"), r"regexp_matches(sector, '^\d{0,1}-[A-Z]+$')"), "e": (is_("sector", "REGEX_MATCH", r"^(1-)?(?(1)URGENT|.-LOW)\Z"), "sector IN ('1-URGENT', '5-LOW')"), "f": (is_("phone", "REGEX_MATCH", r"^(?#any)([0-9])\1"), "substr(phone, 1, 1) = substr(phone, 2, 1)"), "g": (is_("sector", "REGEX_MATCH", "{|}"), "false")})
 _BOTH = {"type": "AND", "children": [is_("line_type", "EQUALS", "F"), {"type": "OR", "children": [is_("risk_score", "GREATER_THAN", 200000), {"type": "NOT", "child": is_("sector", "CONTAINS", "low")}]}]}
 _tests("rul9", {"a": (_BOTH, "line_type IS NOT DISTINCT FROM 'F' AND (risk_score > 200000 OR NOT contains(lower(sector), 'low'))"), "b": ({"type": "NOT", "child": _BOTH}, "NOT (line_type IS NOT DISTINCT FROM 'F' AND (risk_score > 200000 OR NOT contains(lower(sector), 'low')))")})
 
@@ -292,7 +301,11 @@ def _ruled(spark, d, keep):
 query("rul10", f"SELECT id, is_dropped, rule_flags FROM ({_RULED})", False)(lambda spark, d: _ruled(spark, d, True).select("id", "is_dropped", "rule_flags"))
 query("rul11", f"SELECT id, rule_flags FROM ({_RULED})", False)(lambda spark, d: _ruled(spark, d, True).select("id", "rule_flags"))
 query("rul12", f"SELECT id, phone FROM ({_RULED})", False)(lambda spark, d: _ruled(spark, d, True).select("id", "phone"))
-query("rul13", f"SELECT id, line_type, routed_queue FROM ({_RULED})", False)(lambda spark, d: _ruled(spark, d, True).select("id", "line_type", "routed_queue"))
+#: A text for a boolean field: the column becomes text.
+_UNLIKE = {"rule_id": "unlike", "condition": is_("line_type", "EQUALS", "P"), "actions": [{"action_type": "OVERWRITE_FIELD", "field": "is_disposable", "value": "unknown"}]}
+query("rul13", f"SELECT id, line_type, routed_queue, CASE WHEN NOT is_dropped AND line_type = 'P' THEN 'unknown' ELSE CAST(is_disposable AS VARCHAR) END AS is_disposable FROM ({_RULED})", False)(
+    lambda spark, d: rules.run_rules(_rule_table(spark, d), [*RULES, _UNLIKE], TENANT, True).select("id", "line_type", "routed_queue", "is_disposable")
+)
 
 
 @query("rul14", "SELECT * FROM (VALUES ('^a+$', true), ('(a+)+', false), ('(a', false), ('a*b*c*d*e*', false), ('[', false), ('', false)) t(pattern, safe)", False)
@@ -492,6 +505,22 @@ SELECT event_id, t < 1 AS is_throttled, CASE WHEN t < 1 THEN 'RATE_LIMIT_EXCEEDE
 query("str2", _TIMED, False)(lambda spark, d: throttle.throttle_timed(read(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 2.0, 1 / 90000).select("event_id", "is_throttled", "throttle_tag"))
 
 
+@query("str2_stream", _TIMED, False)
+def str2_stream(spark, d):
+    """The same records as a stream of one micro-batch, with state in RocksDB."""
+    conf, key = spark.conf, "spark.sql.streaming.stateStore.providerClass"
+    old = conf.get(key, None)
+    conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        read(spark, d, "events").select(C("user_id").cast("string").alias("tenant"), "event_id", "ts").write.parquet(source := new_path(spark, "str2-in"))
+        rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+        out = throttled_stream(rows, 2.0, 1 / 90000, None).writeStream.format("parquet").option("path", path := new_path(spark, "str2-out")).option("checkpointLocation", new_path(spark, "str2-state")).trigger(availableNow=True).start()
+        out.awaitTermination()
+    finally:
+        conf.set(key, old) if old else conf.unset(key)
+    return spark.read.parquet(path).select("event_id", (~C("allowed")).alias("is_throttled"), F.when(C("allowed"), "ALLOWED").otherwise("RATE_LIMIT_EXCEEDED").alias("throttle_tag"))
+
+
 @query("str3", "SELECT * FROM (VALUES (0, true, 'CLOSED'), (1, false, 'OPEN'), (2, true, 'HALF_OPEN'), (3, false, 'HALF_OPEN'), (4, true, 'CLOSED')) t(step, allowed, state)", False)
 def str3(spark, d):
     now = [0.0]
@@ -628,4 +657,10 @@ query("agg6", "SELECT count(*) AS total_records, count(*) AS accounted, true AS
 query("pipeline_strict", f"SELECT record_id, email, risk_score, CASE WHEN NOT dropped THEN CASE WHEN {_REVIEW} THEN 'REVIEW' ELSE '' END END AS rule_flags, mx NOT IN ('NO_MX_RECORD', 'DNS_ERROR') AS email_valid_syntax FROM {_flow(True)} WHERE NOT dup" if _NO_LIB else None)(
     lambda spark, d: PL.run(contacts(spark, d), _options(True), mx(spark, d)).clean.select("record_id", "email", "risk_score", F.array_join("rule_flags", "|").alias("rule_flags"), "email_valid_syntax")
 )
-query("snk6")(lambda spark, d: tables.export(PL.run(contacts(spark, d), _options(), mx(spark, d)).clean, TENANT, "HUBSPOT")[1])
+_REPORT = (
+    f"count(*) AS total_records, {_N} (NOT dup AND NOT dropped) AS clean_records_count, {_N} (dup) AS duplicates_removed, {_N} (NOT dup AND NOT ok) AS invalid_emails, {_N} (NOT dup AND phone IS NULL) AS invalid_phones, "
+    f"{_N} (NOT dup AND risk_score >= 70) AS high_risk_flags, {_N} (NOT dup AND dropped) AS dropped_via_rules, 0::BIGINT AS throttled_count, 0::BIGINT AS dlq_count"
+)
+query("snk6", f"SELECT '{TENANT}' AS tenant_id, 'HUBSPOT' AS export_target, {_N} (NOT dup AND NOT dropped) AS records_exported_count, 'READY_FOR_DELIVERY' AS export_status, {_REPORT}, 'success' AS status, 'FREE' AS billing_tier, 400 AS billing_records_billed, 600 AS billing_credits_remaining, true AS billing_billing_approved, 'APPROVED' AS billing_status FROM {_flow(False)}" if _NO_LIB else None)(
+    lambda spark, d: PL.response(PL.run(contacts(spark, d), _options(), mx(spark, d)), TENANT, "HUBSPOT", billing.Credits().bill(TENANT, 400))[1]
+)
