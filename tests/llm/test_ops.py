@@ -225,6 +225,16 @@ def test_mined_rules(spark):
     assert urlfilter.judge(Scratch(spark, "t"), df.where("false"), labels).count() == 0
 
 
+def test_rules_of_many_tokens(spark):
+    """Only four tokens together tell what is blocked; repeated rows and labels count each on their own."""
+    urls = [(i, "http://h/" + "/".join(c for c, on in zip("abcd", f"{i % 16:04b}", strict=True) if on == "1")) for i in range(640)]
+    urls += urls[:1] + [(15, urls[15][1])] * 2
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 16 == 15) for i in range(640)] + [(15, True)], "id long, block boolean")
+    got = urlfilter.judge(Scratch(spark, "t"), df, labels).collect()
+    assert len(got) == 643 and all((r.verdict == "block") == (r.page_id % 16 == 15) for r in got)
+
+
 # --- languages and toxicity -------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """URL filters: given block and allow rules, and rules that FP-growth mines from labels. DataFrame functions only.
 
 A URL's items are its tokens. Frequent sets of tokens and label make association rules; those that lead to "block"
-with enough confidence, lift and support, from at most three tokens, are kept. An inverted index has each rule under
+with enough confidence, lift and support are kept, of any number of tokens. An inverted index has each rule under
 its rarest token, so a URL meets only rules that share a token with it; then all of the rule's tokens are asked for.
 """
 
@@ -15,7 +15,7 @@ from .common import Scratch, table
 
 #: (verdict, host, path): a rule fits its host and subdomains, where the path starts with its path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
-CONFIDENCE, LIFT, SUPPORT, LEAST_COUNT, MOST_TOKENS = 0.6, 1.2, 0.005, 20, 3
+CONFIDENCE, LIFT, SUPPORT, LEAST_COUNT = 0.6, 1.2, 0.005, 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLOCK = "=block"
 
@@ -58,7 +58,7 @@ def mined(labelled: DataFrame) -> DataFrame:
     least = max(LEAST_COUNT, -(-n * int(SUPPORT * 1000) // 1000))
     sets = labelled.select(F.when(F.col("block"), F.concat("tokens", F.array(F.lit(_BLOCK)))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=max(0.0, min(1.0, (least - 0.5) / n)), minConfidence=CONFIDENCE).fit(sets)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == _BLOCK) & (F.size("antecedent") <= MOST_TOKENS) & (F.col("confidence") >= CONFIDENCE) & (F.col("confidence") * n >= LIFT * blocked))
+    rules = model.associationRules.where((F.element_at("consequent", 1) == _BLOCK) & (F.col("confidence") >= CONFIDENCE) & (F.col("confidence") * n >= LIFT * blocked))
     return rules.select(F.array_sort("antecedent").alias("tokens"))
 
 
@@ -99,7 +99,7 @@ def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
         list_distinct(list_transform(regexp_extract_all(translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_-]+'),
@@ -107,9 +107,7 @@ p AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABC
 lab AS (SELECT row_number() OVER () AS k, tok, (toxic = 1 OR quality = 0) AS block FROM p JOIN labels ON page_id = doc_id WHERE (toxic = 1 OR quality = 0) IS NOT NULL),
 n AS (SELECT count(*) AS n, count(*) FILTER (block) AS b FROM lab),
 t AS (SELECT k, block, unnest(tok) AS t FROM lab),
-sets AS (SELECT k, block, [t] AS s FROM t
-  UNION ALL SELECT x.k, x.block, [x.t, y.t] FROM t x JOIN t y ON x.k = y.k AND x.t < y.t
-  UNION ALL SELECT x.k, x.block, [x.t, y.t, z.t] FROM t x JOIN t y ON x.k = y.k AND x.t < y.t JOIN t z ON x.k = z.k AND y.t < z.t),
+sets AS (SELECT k, block, [t] AS s, t AS top FROM t UNION ALL SELECT x.k, x.block, list_append(x.s, y.t), y.t FROM sets x JOIN t y ON x.k = y.k AND x.top < y.t),
 rules AS (SELECT s FROM sets, n GROUP BY s, n.n, n.b
   HAVING count(*) FILTER (block) >= greatest(20, ceil(n.n * 0.005)) AND count(*) FILTER (block) / count(*) >= 0.6
      AND (count(*) FILTER (block) / count(*)) * n.n >= 1.2 * n.b),
