@@ -252,6 +252,45 @@ def test_language_held_out(spark, sf, odd, empty):
     assert same == [tuple(r) for r in langid.identify(docs, model).select("doc_id", "lang_pred").orderBy("doc_id").collect()]
 
 
+def brute_language(text, m):
+    """The nearest centroid of a text by plain loops: language, cosine, whether it is rejected."""
+    if text is None or not any(ch.isalpha() for ch in text):
+        return "und", 0.0, True
+    chain, before = [0], 1
+    for ch in text.lower():
+        c = ord(ch) if ch.isalpha() else 0
+        if c or before:
+            chain.append(c)
+        before = c
+    chain.append(0)
+    counts = collections.Counter()
+    for n in (2, 3, 4):
+        for k in range(len(chain) - n + 1):
+            gram = chain[k : k + n]
+            if all(gram[1:-1]):
+                h = gram[0]
+                for j, c in enumerate(gram[1:], 2):
+                    h = (h * 0x9E3779B97F4A7C15 + c + j) % 2**64
+                counts[((h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64) >> 52] += 1
+    x = {k: math.log1p(v) * float(m.idf[k]) for k, v in counts.items()}
+    norm = math.sqrt(sum(v * v for v in x.values())) or 1e-12
+    sims = [sum(v * float(c[k]) for k, v in x.items()) / norm for c in m.centroids]
+    best = max(range(len(sims)), key=lambda k: sims[k])
+    chance = sims[best] - float(m.centroids[best].mean()) * sum(x.values()) / norm
+    least = m.least[min(31, int(math.log2(1 + sum(counts.values()))))]
+    return m.langs[m.of[best]], min(1.0, max(0.0, sims[best])), chance < langid.SLACK * least
+
+
+def test_language_against_brute_force(spark, sf, odd):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    texts = docs.select("doc_id", F.substring("text", 1, 1500).alias("text")).limit(80).union(odd.select("doc_id", F.substring("text", 1, 3000)))
+    texts = texts.union(spark.createDataFrame([(None, "Это русский текст о погоде. " * 9), (None, "ok"), (None, "1 2 3 a"), (None, "İstanbul ßẞ ǅ  x--y"), (None, "zq xj kv " * 30)], "doc_id long, text string"))
+    for r in langid.identify(texts, model).collect():
+        lang, score, rejected = brute_language(r.text, model)
+        assert (r.lang_pred, r.rejected) == (lang, rejected) and r.score == pytest.approx(score, abs=1e-5), r.text
+
+
 def test_toxicity_held_out(spark, sf, odd):
     big = sf.replace("sf0.001", "sf0.1")
     docs, labels = table(spark, big, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")), table(spark, big, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"))
