@@ -15,7 +15,7 @@ from ..functions import risk as R
 from ..functions import similarity as S
 from ..functions import text as T
 from ..functions import vocab as V
-from ..operators import billing, classify, compliance, dedup, rules, summary, throttle, verify
+from ..operators import billing, classify, compliance, dedup, relations, rules, summary, throttle, verify
 from ..operators.contacts import CONTACTS, contacts
 from ..sources import tables
 from ..sources.staging import new_path
@@ -333,10 +333,14 @@ def _hm(x: str) -> str:
 
 
 _LATER = "email <> '' AND row_number() OVER (PARTITION BY email ORDER BY _row_idx) > 1"
-query("jon1", "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey", False)(lambda spark, d: read(spark, d, "orders").join(read(spark, d, "customer"), C("o_custkey") == C("c_custkey"), "left").select("o_orderkey", "c_name"))
-query("jon2", "SELECT id, email FROM contacts")(lambda spark, d: contacts(spark, d).select("id", "email"))
+query("jon1", "SELECT o_orderkey, l_suppkey, l_quantity FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_suppkey, {'n': l_linenumber, 's': l_suppkey, 'q': l_quantity}) AS l_suppkey, arg_max(l_quantity, {'n': l_linenumber, 's': l_suppkey, 'q': l_quantity}) AS l_quantity FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey) ON o_orderkey = l_orderkey", False)(
+    lambda spark, d: relations.looked_up(read(spark, d, "orders").select("o_orderkey"), read(spark, d, "lineitem").where("l_returnflag <> 'R'").select(C("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_suppkey", "l_quantity"), "o_orderkey", "l_linenumber")
+)
+query("jon2", "SELECT c.id, x.c_name FROM (SELECT id, row_number() OVER (ORDER BY _row_idx) AS k FROM contacts) c FULL JOIN (SELECT c_name, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) x ON c.k = x.k")(
+    lambda spark, d: relations.zipped(contacts(spark, d).select("_row_idx", "id"), read(spark, d, "customer").select("c_custkey", "c_name"), "_row_idx", "c_custkey").select("id", "c_name")
+)
 query("jon3", f"SELECT id FROM (SELECT id, coalesce({_LATER}, false) AS dup FROM contacts) WHERE NOT dup")(lambda spark, d: dedup.without_ids(contacts(spark, d), dedup.duplicate_ids(_fps(spark, d))).select("id"))
-query("jon4", f"SELECT id, coalesce({_LATER}, false) AS is_duplicate FROM contacts")(lambda spark, d: contacts(spark, d).join(dedup.duplicate_ids(_fps(spark, d)).withColumn("dup", F.lit(True)), "id", "left").select("id", F.coalesce("dup", F.lit(False)).alias("is_duplicate")))
+query("jon4", f"SELECT id, coalesce({_LATER}, false) AS is_duplicate FROM contacts")(lambda spark, d: relations.flagged(contacts(spark, d), dedup.duplicate_ids(_fps(spark, d))).select("id", "is_duplicate"))
 
 
 def _parts(spark, d):
@@ -423,12 +427,14 @@ query("win5", f"SELECT id, array_to_string(list_transform(range(1, len(t)), lamb
     lambda spark, d: contacts(spark, d).select("id", R.tokens(R.classify_text(C("company"))).alias("t")).select("id", F.array_join(F.when(F.size("t") >= 2, F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.array_join(F.slice("t", i, 2), " "))).otherwise(F.array().cast("array<string>")), "|").alias("pairs"))
 )
 over_contacts("win6", lambda: {"mash": R.keyboard_mash(C("company"))}, {"mash": D.mash("company")})
-query("srt1", "SELECT l_orderkey, arg_min(l_suppkey, {'n': l_linenumber, 's': l_suppkey}) AS l_suppkey FROM lineitem GROUP BY l_orderkey", False)(lambda spark, d: read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_suppkey", F.struct("l_linenumber", "l_suppkey")).alias("l_suppkey")))
-query("srt2", "SELECT l_orderkey, arg_max(l_linenumber, {'q': l_quantity, 'f': -l_linenumber}) AS l_linenumber FROM lineitem GROUP BY l_orderkey", False)(lambda spark, d: read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_quantity", -C("l_linenumber"))).alias("l_linenumber")))
-query("srt3", "SELECT id, to_json({'a': email, 'b': id}) AS j FROM contacts")(lambda spark, d: contacts(spark, d).select("id", F.to_json(F.struct(C("email").alias("a"), C("id").alias("b")), {"ignoreNullFields": "false"}).alias("j")))
-query("lim1", "SELECT _row_idx, phone FROM contacts WHERE phone IS NOT NULL ORDER BY _row_idx LIMIT 10")(lambda spark, d: contacts(spark, d).where("phone IS NOT NULL").orderBy("_row_idx").limit(10).select("_row_idx", "phone"))
+query("srt1", "SELECT l_orderkey, arg_min(l_suppkey, {'n': l_linenumber, 's': l_suppkey}) AS l_suppkey FROM lineitem GROUP BY l_orderkey", False)(lambda spark, d: relations.least(read(spark, d, "lineitem"), "l_orderkey", "l_suppkey", "l_linenumber"))
+query("srt2", "SELECT l_orderkey, arg_max(l_linenumber, {'q': l_quantity, 'f': -l_linenumber}) AS l_linenumber FROM lineitem GROUP BY l_orderkey", False)(lambda spark, d: relations.best(read(spark, d, "lineitem"), "l_orderkey", "l_linenumber", C("l_quantity"), "l_linenumber"))
+query("srt3", "SELECT id, to_json({'a': email, 'b': id}) AS j FROM contacts")(lambda spark, d: contacts(spark, d).select("id", relations.sorted_json(b=C("id"), a=C("email")).alias("j")))
+query("lim1", "SELECT * FROM (SELECT field, CAST(row_number() OVER (PARTITION BY field ORDER BY _row_idx) AS INT) AS place, value FROM (SELECT _row_idx, 'phone' AS field, phone AS value FROM contacts UNION ALL SELECT _row_idx, 'email', email FROM contacts UNION ALL SELECT _row_idx, 'company', company FROM contacts) WHERE value IS NOT NULL) WHERE place <= 10")(
+    lambda spark, d: relations.first_values(contacts(spark, d), ["phone", "email", "company"], "_row_idx")
+)
 query("lim2", "SELECT _row_idx, id FROM contacts ORDER BY _row_idx LIMIT 2")(lambda spark, d: billing.gated(contacts(spark, d), False, "_row_idx").select("_row_idx", "id"))
-query("set1", "SELECT n_name AS name, n_regionkey AS region FROM nation UNION ALL SELECT r_name, NULL FROM region", False)(lambda spark, d: read(spark, d, "nation").select(C("n_name").alias("name"), C("n_regionkey").alias("region")).unionByName(read(spark, d, "region").select(C("r_name").alias("name")), allowMissingColumns=True))
+query("set1", "SELECT n_name AS name, n_regionkey AS region FROM nation UNION ALL SELECT r_name, NULL FROM region", False)(lambda spark, d: relations.stacked(read(spark, d, "nation").select(C("n_name").alias("name"), C("n_regionkey").alias("region")), read(spark, d, "region").select(C("r_name").alias("name"))))
 
 
 @query("cls1", "SELECT * FROM (VALUES ('id', 'GENERIC'), ('email', 'EMAIL'), ('name', 'NAME'), ('phone', 'PHONE'), ('address', 'ADDRESS'), ('company', 'COMPANY'), ('bio', 'BIO')) t(field, class)", False)
