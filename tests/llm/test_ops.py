@@ -476,6 +476,16 @@ def test_near_duplicates_of_a_crowded_bucket(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.deduplicated(Scratch(spark, "t"), docs).collect()) == brute_near(made)
 
 
+def test_near_duplicates_of_a_template(spark):
+    """300 pairs at 0.825 that share a long template with all others, which they are at 0.77 to."""
+    made, template = [], [f"t{k}" for k in range(404)]
+    for p in range(300):
+        own = [f"p{p}w{k}" for k in range(16)]
+        made += [(2 * p + d, " ".join(template[:200] + own + template[200:] + [f"d{2 * p + d}w{k}" for k in range(44)])) for d in range(2)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(Scratch(spark, "t"), docs).collect()) == list(range(0, 600, 2))
+
+
 def test_near_duplicates_by_fingerprints_alone(spark, monkeypatch):
     """With bands that never meet, all pairs of nodes whose fingerprints are equal or two bits apart are verified."""
     real = simhash.sketch

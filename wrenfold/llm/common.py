@@ -232,6 +232,10 @@ def mask_hashes(words: np.ndarray, mask: tuple[int, ...], seed: int = 0) -> np.n
 # --- connected components ---------------------------------------------------------------------------------------------
 
 
+#: Edges that a task of a round works on, at least.
+EDGES = 100_000
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, root) for each end of the edges (a, b: long, a != b): root is the smallest node that can be reached.
 
@@ -247,15 +251,16 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
         if not n or (n, check) == seen:
             break
         seen, turn = (n, check), turn + 1
+        tasks = -(-n // EDGES)  # few edges are few tasks' work, and few files
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(least, both.u == least.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = scratch.put(large, f"{name}-{turn}-large")
+        large = scratch.put(large.coalesce(tasks), f"{name}-{turn}-large")
         to = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(to, large.u == to.k).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(to.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u != v")
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        now = scratch.put(small, f"{name}-{turn}")
+        now = scratch.put(small.coalesce(tasks), f"{name}-{turn}")
         scratch.drop(f"{name}-{turn}-large", f"{name}-{turn - 1}")
     root = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return root.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
