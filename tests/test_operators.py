@@ -292,10 +292,10 @@ def test_phone_with_the_library(spark, monkeypatch):
 
     plan = {"+12025550123": ("+12025550123", "2025550123", 1, "US", "VOIP", True, True), "+19005550123": ("+19005550123", "9005550123", 1, "US", "PREMIUM_RATE", True, True), "+11111111111": ("+11111111111", "1111111111", 1, "US", "MOBILE", True, True), "+1202": (None, None, 1, "US", None, True, False)}
 
-    @F.pandas_udf(StructType.fromDDL("e164 string, national string, country int, region string, kind string, parsed boolean, valid boolean"))
+    @F.pandas_udf(StructType.fromDDL("e164 string, national string, country int, region string, kind string, parsed boolean, valid boolean, failed boolean"))
     def parsed(digits: pd.Series, region: pd.Series) -> pd.DataFrame:
-        rows = [plan.get(d, (None, None, None, None, None, False, False)) for d in digits]
-        return pd.DataFrame(rows, columns=["e164", "national", "country", "region", "kind", "parsed", "valid"]).astype({"country": "Int32"})
+        rows = [(*plan.get(d, (None, None, None, None, None, False, False)), d == "+1234567890") for d in digits]
+        return pd.DataFrame(rows, columns=["e164", "national", "country", "region", "kind", "parsed", "valid", "failed"]).astype({"country": "Int32"})
 
     monkeypatch.setattr(P, "phonenumbers", object())
     monkeypatch.setattr(P, "_parsed", parsed)
@@ -304,6 +304,10 @@ def test_phone_with_the_library(spark, monkeypatch):
     assert got["+12025550123"].tags == ["VALID_E164", "LINE_VOIP", "VOIP_RISK"] and got["+19005550123"].tags == ["VALID_E164", "LINE_PREMIUM_RATE", "PREMIUM_RATE_RISK"]
     assert "REPEATING_DIGITS" in got["+11111111111"].tags and got["2025550123"].tags == ["AMBIGUOUS_REGION"] and got["+999999999"].tags == ["UNPARSEABLE"] and got["+12025550123"].e164 == "+12025550123"
     assert ask("US")["2025550123"].tags == ["UNPARSEABLE"]
+    df = spark.createDataFrame([(0, "a", "x@acme.org", "+1 234 567 890"), (1, "b", "y@acme.org", "+12025550123"), (2, "c", "x@acme.org", "+1 234 567 890")], "_row_idx long, id string, email string, phone string")
+    result = PL.run(df, PL.Options("t", b"p" * 32))
+    assert [(r.record_id, r.stage, r.error_code) for r in result.dead.collect()] == [("a", "PHONE_FORMATTING", "STAGE_ENGINE_FAILURE")] and result.report.first().dlq_count == 1
+    assert PL.reconciled(result.report).first().balanced and [r.record_id for r in result.clean.collect()] == ["b"]
 
 
 def test_blocks_of_any_size(spark):

@@ -51,21 +51,23 @@ def dummy_pattern(d: Column) -> Column:
     return F.when(repeating(d), "REPEATING_DIGITS").when(sequential(d), "DUMMY_SEQUENCE")
 
 
-@F.pandas_udf(StructType([StructField(n, t) for n, t in (("e164", StringType()), ("national", StringType()), ("country", IntegerType()), ("region", StringType()), ("kind", StringType()), ("parsed", BooleanType()), ("valid", BooleanType()))]))
+@F.pandas_udf(StructType([StructField(n, t) for n, t in (("e164", StringType()), ("national", StringType()), ("country", IntegerType()), ("region", StringType()), ("kind", StringType()), ("parsed", BooleanType()), ("valid", BooleanType()), ("failed", BooleanType()))]))
 def _parsed(digits: pd.Series, region: pd.Series) -> pd.DataFrame:
-    names = ["e164", "national", "country", "region", "kind", "parsed", "valid"]
+    names = ["e164", "national", "country", "region", "kind", "parsed", "valid", "failed"]
     rows = []
     for d, r in zip(digits, region, strict=True):
-        row = (None, None, None, None, None, False, False)
+        row = (None, None, None, None, None, False, False, False)
         if d is not None:
             try:
                 p = phonenumbers.parse(d, r)
-                row = (None, None, p.country_code, r, None, True, False)
+                row = (None, None, p.country_code, r, None, True, False, False)
                 if phonenumbers.is_valid_number(p):
                     kind = phonenumbers.PhoneNumberType.to_string(phonenumbers.number_type(p))
-                    row = (phonenumbers.format_number(p, phonenumbers.PhoneNumberFormat.E164), str(p.national_number), p.country_code, phonenumbers.region_code_for_number(p) or r, kind, True, True)
+                    row = (phonenumbers.format_number(p, phonenumbers.PhoneNumberFormat.E164), str(p.national_number), p.country_code, phonenumbers.region_code_for_number(p) or r, kind, True, True, False)
             except phonenumbers.NumberParseException:
                 pass
+            except Exception:  # the library's failure is the record's, not the job's
+                row = (None, None, None, None, None, False, False, True)
         rows.append(row)
     return pd.DataFrame(rows, columns=names).astype({"country": "Int32"})
 
@@ -77,9 +79,9 @@ def line_type(kind: Column) -> Column:
 
 
 def classified_phone(c: Column, region: str | None = "IN", text: bool = True) -> Column:
-    """PHN6: struct of raw_input, e164, national_number, country_code, region_used, line_type_tag, tags.
+    """PHN6: struct of raw_input, e164, national_number, country_code, region_used, line_type_tag, tags, failed.
 
-    text: whether the column holds text; another type can't be parsed.
+    failed: the library raised what it shouldn't. text: whether the column holds text; another type can't be parsed.
     """
     raw = c.cast("string")
     digits = raw_digits(ascii_digits(raw))
@@ -92,10 +94,10 @@ def classified_phone(c: Column, region: str | None = "IN", text: bool = True) ->
     shown = F.when(empty, "").when(F.length(raw) > PHONE_MAX, F.substring(raw, 1, PHONE_MAX) if text else raw).otherwise(raw)
     if phonenumbers is None:
         tag = F.coalesce(early, F.lit("DEPENDENCY_MISSING"))
-        return F.struct(shown.alias("raw_input"), none.alias("e164"), none.alias("national_number"), F.lit(None).cast("int").alias("country_code"), none.alias("region_used"), F.lit("LINE_UNKNOWN").alias("line_type_tag"), F.array(tag).alias("tags"))
+        return F.struct(shown.alias("raw_input"), none.alias("e164"), none.alias("national_number"), F.lit(None).cast("int").alias("country_code"), none.alias("region_used"), F.lit("LINE_UNKNOWN").alias("line_type_tag"), F.array(tag).alias("tags"), F.lit(False).alias("failed"))
     early = F.coalesce(early, F.when(~plus & F.lit(not region), "AMBIGUOUS_REGION"))
     p = _parsed(F.when(early.isNull(), digits), F.lit(region))
     kind = F.when(p["valid"], line_type(p["kind"])).otherwise("LINE_UNKNOWN")
     tags = F.array_compact(F.array(F.lit("VALID_E164"), kind, dummy_pattern(p["national"]), F.when(kind == "LINE_VOIP", "VOIP_RISK"), F.when(kind == "LINE_PREMIUM_RATE", "PREMIUM_RATE_RISK")))
     tags = F.when(early.isNotNull(), F.array(early)).when(~p["valid"], F.array(F.lit("UNPARSEABLE"))).otherwise(tags)
-    return F.struct(shown.alias("raw_input"), p["e164"].alias("e164"), p["national"].alias("national_number"), p["country"].alias("country_code"), p["region"].alias("region_used"), kind.alias("line_type_tag"), tags.alias("tags"))
+    return F.struct(shown.alias("raw_input"), p["e164"].alias("e164"), p["national"].alias("national_number"), p["country"].alias("country_code"), p["region"].alias("region_used"), kind.alias("line_type_tag"), tags.alias("tags"), F.coalesce(p["failed"], F.lit(False)).alias("failed"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import optional_fingerprint, tenant_key
 from ..functions.phone import classified_phone
 from ..functions.risk import with_risk, with_sector
-from ..functions.vocab import BUCKET_CAPACITY, HIGH_RISK, Tenant
+from ..functions.vocab import BUCKET_CAPACITY, DLQ_CODES, HIGH_RISK, Tenant
 from ..operators.classify import with_record
 from ..operators.compliance import AuditEntry, audit
 from ..operators.dedup import duplicate_ids, keep_first
@@ -91,7 +91,7 @@ def checked(df: DataFrame, tenant_id: str, mx: DataFrame, strict: bool) -> DataF
 
 def formatted(df: DataFrame, region: str | None) -> DataFrame:
     out = df.withColumn("_p", classified_phone(F.col("phone"), region))
-    new = {"phone": F.coalesce("_p.e164", "phone"), "line_type": F.col("_p.line_type_tag"), "is_voip_phone": F.col("_p.line_type_tag") == "LINE_VOIP", "country_code": F.col("_p.country_code"), "_tags": F.col("_p.tags")}
+    new = {"phone": F.coalesce("_p.e164", "phone"), "line_type": F.col("_p.line_type_tag"), "is_voip_phone": F.col("_p.line_type_tag") == "LINE_VOIP", "country_code": F.col("_p.country_code"), "_tags": F.col("_p.tags"), "_failed": F.col("_p.failed")}
     return out.withColumns(new).drop("_p")
 
 
@@ -121,28 +121,30 @@ def run(df: DataFrame, options: Options, mx: DataFrame | None = None) -> Result:
         flow = keep_first(flow, F.col("_fp"), "_row_idx", "_dup")
     before = staged(scored(formatted(checked(flow.drop("_fp"), o.tenant_id, mx, o.strict), o.region), o.strict), "scored")
     flow = run_rules(before.withColumn("id", F.col("record_id")), o.rules, o.tenant_id, keep_dropped=True)
-    alive = ~F.col("_dup")
+    alive = ~F.col("_dup") & ~F.col("_failed")
+    lost = ~F.col("_dup") & F.col("_failed")
     if o.strict:  # a dropped record stays as it was before the rules; so the rules' own columns are null
         kept = flow.where(alive & ~F.col("is_dropped"))
         dropped = before.join(flow.where(alive & F.col("is_dropped")).select("_row_idx"), "_row_idx", "left_semi")
-        clean = kept.unionByName(dropped, allowMissingColumns=True).drop("_dup", "is_dropped", "errors")
+        clean = kept.unionByName(dropped, allowMissingColumns=True).drop("_dup", "_failed", "is_dropped", "errors")
     else:
         clean = throttle_burst(flow.where(alive & ~F.col("is_dropped")).withColumn("_tenant", F.lit(o.tenant_id)), "_tenant", "_row_idx", o.tokens).where(~F.col("is_throttled"))
-        clean = clean.drop("_tenant", "_dup", "is_dropped", "is_throttled", "throttle_tag", "_meta_throttled", "errors")
+        clean = clean.drop("_tenant", "_dup", "_failed", "is_dropped", "is_throttled", "throttle_tag", "_meta_throttled", "errors")
     passed = alive & ~F.col("is_dropped")
     n = lambda c: F.count_if(c)
     report = flow.agg(
         F.count("*").alias("total_records"), n(passed).alias("passed"), n(F.col("_dup")).alias("duplicates_removed"), n(alive & ~F.col("email_valid_syntax")).alias("invalid_emails"),
-        n(alive & F.col("phone").isNull()).alias("invalid_phones"), n(alive & (F.col("risk_score") >= HIGH_RISK)).alias("high_risk_flags"), n(alive & F.col("is_dropped")).alias("dropped_via_rules"), n(alive).alias("alive"),
+        n(alive & F.col("phone").isNull()).alias("invalid_phones"), n(alive & (F.col("risk_score") >= HIGH_RISK)).alias("high_risk_flags"), n(alive & F.col("is_dropped")).alias("dropped_via_rules"), n(alive).alias("alive"), n(lost).alias("dlq_count"),
     )
     if o.strict:
         report = report.withColumns({"duplicates_removed": F.lit(removed).cast("long"), "clean_records_count": F.col("alive"), "throttled_count": F.lit(0).cast("long"), "dropped_via_rules": F.lit(0).cast("long")})
     else:
         report = report.withColumns({"clean_records_count": F.least("passed", F.lit(o.tokens).cast("long")), "throttled_count": F.greatest(F.col("passed") - o.tokens, F.lit(0).cast("long"))})
-    # fields that can't be cleaned are empty and listed in errors, so no record is dead; a failed stage fails the job
-    dead = flow.where("false").select("record_id", F.lit("NORMALIZATION").alias("stage"), F.lit("NORMALIZATION_FAILURE").alias("error_code"), F.lit("").alias("error_message"), F.to_json(F.struct("record_id", "email", "phone")).alias("last_known_data"))
-    names = ["total_records", "clean_records_count", "duplicates_removed", "invalid_emails", "invalid_phones", "high_risk_flags", "dropped_via_rules", "throttled_count"]
-    report = report.select(*names, F.lit(0).cast("long").alias("dlq_count"))
+    # fields that can't be cleaned are empty and listed in errors; a record at which a library fails is dead, a stage that
+    # fails as a whole fails the job
+    dead = flow.where(lost).select("record_id", F.lit("PHONE_FORMATTING").alias("stage"), F.lit(DLQ_CODES[1]).alias("error_code"), F.lit("the phone library failed at the record").alias("error_message"), F.to_json(F.struct("record_id", "email", "phone")).alias("last_known_data"))
+    names = ["total_records", "clean_records_count", "duplicates_removed", "invalid_emails", "invalid_phones", "high_risk_flags", "dropped_via_rules", "throttled_count", "dlq_count"]
+    report = report.select(*names)
     if o.strict:
         return Result(dead, report, lambda: (clean, None))
     report = report.withColumn("processing_time_ms", F.lit(round((time.monotonic() - began) * 1000, 2)))
