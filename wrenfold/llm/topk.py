@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from .common import Scratch, Shared, table
 
 K, QUERY_STEP, SCALE = 20, 20, 64
-#: Pivots at most (about the root of the vectors' number), and distinct vectors they are chosen from.
+#: Pivots at most (about one for two slices), and distinct vectors they are chosen from.
 PIVOTS, SAMPLE = 512, 8192
 #: Vectors in a slice, queries in a block, and groups of slices about (their bounds, 28 bytes each, go to every task).
 SLICE, BLOCK, GROUPS = 1024, 256, 1 << 15
@@ -211,7 +211,8 @@ def search(scratch: Scratch, vectors: DataFrame, k: int = K, id_col: str = "vec_
     dims = max(1, dims)
     sample = base.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) <= (1 << 20) * SAMPLE // n).limit(2 * SAMPLE).select("v").toArrow().column("v").combine_chunks()
     sample = _matrix(sample, dims) if len(sample) else np.zeros((0, dims))
-    pivots = max(1, min(PIVOTS, math.isqrt(n)))
+    # about two full slices a pivot: with more pivots slices would be parts, and pairs of them and blocks many
+    pivots = max(1, min(PIVOTS, max(n // (2 * SLICE), min(16, math.isqrt(n)))))
     shared = Shared(spark, Space(sample[np.lexsort(sample.T)], dims, int(longest), pivots))
     # neighbouring slices of a pivot make a group; a slice's number tells its place
     slices = _sliced(base, shared, SLICE, False)
