@@ -719,6 +719,45 @@ def test_topk_opens_little_of_clusters(spark, monkeypatch):
     assert share["clustered"] < 0.1 and share["even"] <= 1.01, share
 
 
+def test_topk_keeps_vectors_from_the_driver(spark, monkeypatch):
+    """The driver gets pivots and bounds, no vectors; few rows in many partitions are still cut into full slices and blocks."""
+    monkeypatch.setattr(topk, "SLICE", 64)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setitem(sent := {}, "bytes", 0)
+    arrow, put, plan = type(spark.range(1)).toArrow, Scratch.put, lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def counted(df):
+        out = arrow(df)
+        sent["bytes"] += out.nbytes
+        return out
+
+    def kept(self, df, name):
+        assert "Broadcast" not in plan(df), name
+        sent[name] = put(self, df, name)
+        return sent[name]
+
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", counted)
+    monkeypatch.setattr(Scratch, "put", kept)
+    x = np.random.default_rng(12).normal(0, 0.2, (3000, 32))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 100)
+    try:
+        got = collections.defaultdict(list)
+        found = topk.search(Scratch(spark, "t"), spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"))
+        assert "Broadcast" not in plan(found)
+        for r in found.collect():
+            got[r.query_id].append((r.rank, r.vec_id, r.score))
+        pivots = 3000 // (2 * 64)
+        assert sent["bytes"] < 3000 * 32 * 8 / 20
+        assert sent["slices"].count() <= 3000 / 64 * 1.3 + pivots and sent["blocks"].select("sid").count() <= 150 / 16 * 1.3 + pivots
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    whole = np.floor(64 * x).astype(np.int64)
+    for q in range(0, 3000, 20):
+        best = sorted((-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q)[:20]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_words():
     import pyarrow as pa
 

@@ -34,8 +34,8 @@ K, QUERY_STEP, SCALE = 20, 20, 64
 PIVOTS, SAMPLE = 512, 8192
 #: Vectors in a slice, queries in a block, and groups of slices about (their bounds, 28 bytes each, go to every task).
 SLICE, BLOCK, GROUPS = 1024, 256, 1 << 15
-#: Groups that a block meets first.
-FIRST = 2
+#: Groups that a block meets first, and full slices (or blocks) for which a task is begun.
+FIRST, FULL = 2, 4
 
 
 def whole_numbers(vector: str) -> Column:
@@ -48,23 +48,39 @@ def whole_numbers(vector: str) -> Column:
 class Space:
     """The pivots, in the space with one more component."""
 
-    def __init__(self, sample: np.ndarray, dims: int, longest: int, pivots: int = PIVOTS):
+    def __init__(self, dims: int, longest: int):
         self.dims, self.longest = dims, longest
-        x = self.lifted(sample.astype(np.float64)) if len(sample) else np.zeros((1, dims + 1))
+        self.pivots = np.zeros((1, dims + 1))
+        #: How components are stored: no component is longer than its vector.
+        self.kind = "<i2" if longest < 1 << 30 else "<f8"
+
+    def fit(self, sample: np.ndarray, pivots: int) -> None:
+        if not len(sample):
+            return
+        x = self.lifted(sample)
         at = [0]
-        near = ((x - x[0]) ** 2).sum(axis=1)
+        near = self._d2(x, x[:1])[:, 0]
         while len(at) < min(pivots, len(x)):  # farthest first, then means of what is nearest
             at.append(int(near.argmax()))
-            near = np.minimum(near, ((x - x[at[-1]]) ** 2).sum(axis=1))
+            near = np.minimum(near, self._d2(x, x[at[-1:]])[:, 0])
         p = x[at]
         for _ in range(6):
             own = self._d2(x, p).argmin(axis=1)
             p = np.stack([x[own == j].mean(axis=0) if (own == j).any() else p[j] for j in range(len(p))])
         self.pivots = p
 
+    def packed(self, x: np.ndarray) -> bytes:
+        return x.astype(self.kind).tobytes()
+
+    def unpacked(self, data: pa.Scalar) -> np.ndarray:
+        return np.frombuffer(data.as_buffer(), self.kind).reshape(-1, self.dims).astype(np.float64)
+
     @staticmethod
     def _d2(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-        return np.maximum(0.0, (x * x).sum(axis=1)[:, None] - 2 * x @ p.T + (p * p).sum(axis=1)[None, :])
+        d = x @ (-2 * p.T)
+        d += np.einsum("ij,ij->i", x, x)[:, None]
+        d += np.einsum("ij,ij->i", p, p)[None, :]
+        return np.maximum(0.0, d, out=d)
 
     def lifted(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, self.longest - (x * x).sum(axis=1)))
@@ -95,8 +111,22 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def _sliced(rows: DataFrame, shared, size: int, query: bool) -> DataFrame:
-    """Rows (v: array<long>, ids: array<long>) in the order of pivot and distance, cut into slices of one pivot."""
+def _space(sample: DataFrame, dims: int, longest: int, pivots: int) -> Space:
+    """The pivots of a sample (v), fitted in a task: what comes to the driver is the pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_matrix(b.column(0), dims) for b in batches if b.num_rows]
+        x, space = np.concatenate(parts) if parts else np.zeros((0, dims)), Space(dims, longest)
+        space.fit(x[np.lexsort(x.T)], pivots)
+        yield pa.RecordBatch.from_arrays([pa.array([space.pivots.tobytes()], pa.binary())], ["pivots"])
+
+    space = Space(dims, longest)
+    space.pivots = np.frombuffer(sample.select("v").coalesce(1).mapInArrow(run, "pivots binary").first().pivots).reshape(-1, dims + 1)
+    return space
+
+
+def _sliced(rows: DataFrame, n: int, shared, size: int, query: bool) -> DataFrame:
+    """n rows (v: array<long>, ids: array<long>) in the order of pivot and distance, cut into slices of one pivot."""
     schema = "v array<long>, ids array<long>, pivot int, dist double"
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +143,7 @@ def _sliced(rows: DataFrame, shared, size: int, query: bool) -> DataFrame:
         n = ids.value_lengths().to_numpy()
         return pa.RecordBatch.from_arrays(
             [pa.array([sid]), pa.array([t["pivot"][0].as_py()], pa.int32()), pa.array([float(dist.min())]), pa.array([float(dist.max())]), pa.array([len(x)], pa.int32()),
-             pa.array([x.astype("<f8").tobytes()], pa.binary()), pa.array([ids.flatten().to_numpy().tolist()], pa.list_(pa.int64())), pa.array([n.tolist()], pa.list_(pa.int32()))],
+             pa.array([shared.value.packed(x)], pa.binary()), pa.array([ids.flatten().to_numpy().tolist()], pa.list_(pa.int64())), pa.array([n.tolist()], pa.list_(pa.int32()))],
             ["sid", "pivot", "lo", "hi", "n", "x", "ids", "counts"],
         )
 
@@ -134,7 +164,8 @@ def _sliced(rows: DataFrame, shared, size: int, query: bool) -> DataFrame:
             yield emit(number, part)
 
     keyed = rows.select("v", "ids").mapInArrow(key, schema)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # where a task ends, a slice ends: of few rows, many tasks would make many short slices, and pairs of them by the square
+    parts = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (FULL * size)))
     return keyed.repartitionByRange(parts, "pivot", "dist").sortWithinPartitions("pivot", "dist").mapInArrow(cut, "sid long, pivot int, lo double, hi double, n int, x binary, ids array<long>, counts array<int>")
 
 
@@ -149,13 +180,13 @@ def _probe(pairs: DataFrame, shared, k: int, compared: Accumulator | None) -> Da
         for b in batches:
             for r in range(b.num_rows):
                 get = lambda name, r=r, b=b: b.column(b.schema.get_field_index(name))[r]
-                q = np.frombuffer(get("qx").as_buffer(), "<f8").reshape(-1, s.dims)
+                q = s.unpacked(get("qx"))
                 qid, bound = get("qids").values.to_numpy(), get("bound").values.to_numpy(zero_copy_only=False)
                 open_ = np.flatnonzero(s.reaches(q, bound, get("pivot").as_py(), get("lo").as_py(), get("hi").as_py()))
                 q, qid, bound = q[open_], qid[open_], bound[open_]
                 if not len(q):
                     continue
-                x = np.frombuffer(get("x").as_buffer(), "<f8").reshape(-1, s.dims)
+                x = s.unpacked(get("x"))
                 ids, counts = get("ids").values.to_numpy(), get("counts").values.to_numpy()
                 begin = np.concatenate(([0], np.cumsum(counts)[:-1]))
                 exact = s.longest < 1 << 52
@@ -188,6 +219,11 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("r", rank).where(F.col("r") <= k)
 
 
+def joined(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by shuffle. Spark takes a binary column for 100 bytes and a function's rows for as many as came in, so it would collect packed blocks in the driver to broadcast them."""
+    return a.hint("merge").join(b, on, how)
+
+
 def search(scratch: Scratch, vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", step: int = QUERY_STEP, compared: Accumulator | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id divisible by `step`, the k best of all other rows.
 
@@ -206,28 +242,32 @@ def search(scratch: Scratch, vectors: DataFrame, k: int = K, id_col: str = "vec_
     questions = scratch.put(asked.groupBy("v").agg(F.min("id").alias("first")).select("v", "first", F.xxhash64("v", "first").alias("qid")), "questions")
     n, dims, longest = base.agg(F.count("*"), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not n or questions.isEmpty():
+    asking = questions.count()
+    if not n or not asking:
         return none
     dims = max(1, dims)
-    sample = base.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) <= (1 << 20) * SAMPLE // n).limit(2 * SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    sample = _matrix(sample, dims) if len(sample) else np.zeros((0, dims))
+    sample = base.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) <= (1 << 20) * SAMPLE // n).limit(2 * SAMPLE)
     # about two full slices a pivot: with more pivots slices would be parts, and pairs of them and blocks many
     pivots = max(1, min(PIVOTS, max(n // (2 * SLICE), min(16, math.isqrt(n)))))
-    shared = Shared(spark, Space(sample[np.lexsort(sample.T)], dims, int(longest), pivots))
+    shared = Shared(spark, _space(sample, dims, int(longest), pivots))
     # neighbouring slices of a pivot make a group; a slice's number tells its place
-    slices = _sliced(base, shared, SLICE, False)
+    slices = _sliced(base, n, shared, SLICE, False)
     few = max(1, n // SLICE // GROUPS)
     slices = scratch.put(slices.withColumn("gid", F.xxhash64("pivot", F.shiftright("sid", 32), F.floor(F.col("sid").bitwiseAND((1 << 32) - 1) / few))), "slices")
-    blocks = scratch.put(_sliced(questions.select("v", F.array("qid").alias("ids")), shared, BLOCK, True), "blocks").select(F.col("x").alias("qx"), F.col("ids").alias("qids"))
+    blocks = scratch.put(_sliced(questions.select("v", F.array("qid").alias("ids")), asking, shared, BLOCK, True), "blocks").select(F.col("x").alias("qx"), F.col("ids").alias("qids"))
     groups = slices.groupBy("gid").agg(F.first("pivot").alias("pivot"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    where = spark.sparkContext.broadcast(np.array(sorted((r.pivot, r.lo, r.hi, r.gid) for r in groups.collect()), dtype="i4,f8,f8,i8"))
+    groups = groups.select("pivot", "lo", "hi", "gid").toArrow()
+    bounds = np.empty(groups.num_rows, dtype="i4,f8,f8,i8")
+    for name, column in zip(bounds.dtype.names, groups.columns, strict=True):
+        bounds[name] = column.to_numpy()
+    where = spark.sparkContext.broadcast(np.sort(bounds))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The groups nearest to the block's place."""
         s, w = shared.value, where.value
         for b in batches:
             for r in range(b.num_rows):
-                q = np.frombuffer(b.column(0)[r].as_buffer(), "<f8").reshape(-1, s.dims)
+                q = s.unpacked(b.column(0)[r])
                 d = np.median(s.distances(q, True), axis=0)
                 gap = np.maximum(0, np.maximum(w["f1"] - d[w["f0"]], d[w["f0"]] - w["f2"])) + d[w["f0"]]
                 gid = w["f3"][np.argsort(gap, kind="stable")[:FIRST]]
@@ -236,20 +276,20 @@ def search(scratch: Scratch, vectors: DataFrame, k: int = K, id_col: str = "vec_
 
     pair = "gid long, qx binary, qids array<long>, bound array<double>"
     begun = scratch.put(blocks.mapInArrow(first, pair), "begun")
-    near = scratch.put(_best(_probe(begun.join(slices, "gid"), shared, more, compared), more), "near")
+    near = scratch.put(_best(_probe(joined(begun, slices, "gid"), shared, more, compared), more), "near")
     # what a query has found so far bounds the rest: the score of the last of its k+1, if it has so many
     bound = near.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("s")).select("qid", F.when(F.col("n") >= more, F.col("s").cast("double")).otherwise(float("-inf")).alias("bound"))
     each = blocks.select(F.xxhash64("qids").alias("block"), F.posexplode("qids").alias("at", "qid"))
-    bounds = each.join(bound, "qid", "left").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bound", F.lit(float("-inf"))).alias("b")))), lambda x: x["b"]).alias("bound"))
+    bounds = joined(each, bound, "qid", "left").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bound", F.lit(float("-inf"))).alias("b")))), lambda x: x["b"]).alias("bound"))
     seen = begun.groupBy(F.xxhash64("qids").alias("block")).agg(F.collect_set("gid").alias("seen"))
-    bounded = blocks.withColumn("block", F.xxhash64("qids")).join(bounds, "block").join(seen, "block").select("qx", "qids", "bound", "seen")
+    bounded = joined(joined(blocks.withColumn("block", F.xxhash64("qids")), bounds, "block"), seen, "block").select("qx", "qids", "bound", "seen")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The groups not met yet, each with the queries whose bounds reach it."""
         s, w = shared.value, where.value
         for b in batches:
             for r in range(b.num_rows):
-                q, qid = np.frombuffer(b.column(0)[r].as_buffer(), "<f8").reshape(-1, s.dims), b.column(1)[r].values.to_numpy()
+                q, qid = s.unpacked(b.column(0)[r]), b.column(1)[r].values.to_numpy()
                 least = b.column(2)[r].values.to_numpy(zero_copy_only=False)
                 d, reach = s.distances(q, True), s.reach(q, least)[:, None]
                 for at in range(0, len(w), 4096):
@@ -258,12 +298,12 @@ def search(scratch: Scratch, vectors: DataFrame, k: int = K, id_col: str = "vec_
                     open_ = (own - part["f2"] <= reach) & (part["f1"] - own <= reach) & ~np.isin(part["f3"], b.column(3)[r].values.to_numpy())
                     for g in np.flatnonzero(open_.any(axis=0)).tolist():
                         some = np.flatnonzero(open_[:, g])
-                        yield pa.RecordBatch.from_arrays([pa.array([part["f3"][g]]), pa.array([q[some].tobytes()], pa.binary()), pa.array([qid[some]], pa.list_(pa.int64())), pa.array([least[some]], pa.list_(pa.float64()))], ["gid", "qx", "qids", "bound"])
+                        yield pa.RecordBatch.from_arrays([pa.array([part["f3"][g]]), pa.array([s.packed(q[some])], pa.binary()), pa.array([qid[some]], pa.list_(pa.int64())), pa.array([least[some]], pa.list_(pa.float64()))], ["gid", "qx", "qids", "bound"])
 
     more_pairs = bounded.mapInArrow(rest, pair)
-    found = near.select("qid", "score", "id").unionByName(_probe(more_pairs.join(slices, "gid"), shared, more, compared))
+    found = near.select("qid", "score", "id").unionByName(_probe(joined(more_pairs, slices, "gid"), shared, more, compared))
     best = _best(found, more).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("r", "score", "id"))).alias("best"))
-    mine = asked.join(questions.select("v", "qid"), "v").select(F.col("id").alias("query_id"), "qid").join(best, "qid")
+    mine = joined(joined(asked, questions.select("v", "qid"), "v").select(F.col("id").alias("query_id"), "qid"), best, "qid")
     top = mine.select("query_id", F.posexplode(F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k)).alias("pos", "b"))
     return top.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), F.col("b.score").alias("score"))
 
