@@ -105,6 +105,15 @@ def test_style_tree_removes_what_repeats(spark):
     assert all(got[i, own(i)] == 1 for i in range(40)) and got[100, "Same line on each page"] == 1 and got[101, ""] == 2 and html_text.extract(Scratch(spark, "t"), df.where("false")).count() == 0
 
 
+def test_style_tree_looks_at_all_words(spark):
+    """Articles that share a few words and differ in all others stay, whichever words have the smallest hashes."""
+    common = sorted((f"c{k}" for k in range(10_000)), key=html_text._hash)[:4]
+    text = lambda i: " ".join([*common, *(w for k in range(10 << i % 4) if html_text._hash(w := f"w{i}x{k}") > html_text._hash(common[-1]))])
+    pages = [(i, f"http://h.example/{i}", f"<body><div class='y'>{text(i)}</div></body>") for i in range(32)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(Scratch(spark, "t"), df).collect()} == {i: text(i) for i in range(32)}
+
+
 def brute_importance(pages, by_host=True):
     """The importance of the nodes of pages (host, html), without Spark; hosts are put together if by_host is false."""
     feats = collections.defaultdict(lambda: collections.defaultdict(collections.Counter))

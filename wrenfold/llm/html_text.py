@@ -3,7 +3,7 @@
 Pages of a host are merged into one tree whose nodes are paths of block elements (tag, class and id). A node's
 importance is composed, as in the published style tree method, of its presentation (the entropy of its styles over
 pages: child sequence, amount of text and share of links) and its content (one minus the mean entropy of its features
-over pages: amounts, and a sample of the words; what every page has tells nothing). A menu of six links or an advert of
+over pages: amounts, and the words; what every page has tells nothing). A menu of six links or an advert of
 one sentence is predicted by its amounts even where no two pages have the same words; an article is not. A branch goes
 if it and all that stands under it are of low importance.
 
@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, plus, table
 from .urlfilter import host
 
-#: Importance under which a branch goes, the weight's base, the logarithms' base at most, the pages that all hosts
-#: together count as, and the words of a text that are looked at (those of smallest hash).
-LOW, GAMMA, BASE, PRIOR_PAGES, WORDS = 0.5, 0.9, 32, 8, 4
+#: Importance under which a branch goes, the weight's base, the logarithms' base at most, and the pages that all hosts
+#: together count as.
+LOW, GAMMA, BASE, PRIOR_PAGES = 0.5, 0.9, 32, 8
+#: Features in an Arrow batch, about.
+ROWS = 50_000
 #: Rows of removed branches that are broadcast at most (a row: host and id); more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 _BLOCK = frozenset(
@@ -210,7 +212,7 @@ def _amount(words: int, links: int) -> str:
 
 def page_features(source: str) -> set[tuple[int, str, int]]:
     """(id, kind, f) of a page: of each node its style (s: child sequence and amount of text), and of its own texts the
-    amounts (a) and a sample of the words, those of smallest hash (w), which equal and similar texts have in common."""
+    amounts (a) and the words (w)."""
     out: set[tuple[int, str, int]] = set()
     for n in Page(source, prior=False).nodes[1:]:
         if n.dropped:
@@ -220,18 +222,21 @@ def page_features(source: str) -> set[tuple[int, str, int]]:
         if n.words:
             out.add((_signed(n.id), "a", _hash(_amount(n.words, n.links))))
         for text in n.texts:
-            own = sorted({_hash(w) for w in text.split()})[:WORDS]
-            out |= {(_signed(n.id), "w", h) for h in own}
+            out |= {(_signed(n.id), "w", _hash(w)) for w in set(text.split())}
     return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (host, html) to (host, id, kind, f)."""
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))], ["host", "id", "kind", "f"])
     for b in batches:
         rows: list[tuple] = []
         for where, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            rows += ((where, *x) for x in sorted(page_features(source)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))], ["host", "id", "kind", "f"])
+            rows += ((where, *x) for x in page_features(source))
+            if len(rows) >= ROWS:
+                yield batch(rows)
+                rows = []
+        yield batch(rows)
 
 
 def importance(counts: DataFrame, *by: str) -> DataFrame:
