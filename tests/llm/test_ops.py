@@ -10,6 +10,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import duck_rows, rows
@@ -114,6 +115,46 @@ def test_style_tree_looks_at_all_words(spark):
     assert {r.page_id: r.text for r in html_text.extract(Scratch(spark, "t"), df).collect()} == {i: text(i) for i in range(32)}
 
 
+def test_style_tree_sums_in_batches_of_any_size(monkeypatch):
+    """Features that are counted in many parts, and a node's slices that go on in the next batch, have the sums of all at once."""
+    monkeypatch.setattr(html_text, "FEATURES", 40)
+    text = lambda i: " ".join(f"w{k * k % 23}" for k in range(i, i + 9))
+    pages = [(i % 3 - 1, f"<div><p>{text(i)}</p>x{i % 5} y</div><i>\ud800 {i}</i>" + "<p class='c'>z" * (i % 4)) for i in range(60)] + [(5, ""), (5, "<p>")]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in pages], pa.int64()), pa.array(range(len(pages)))], ["key", "html"])
+    monkeypatch.setattr(html_text, "page_parts", lambda i, real=html_text.page_parts: real(pages[i][1]))  # Arrow has no lone surrogates
+    packed = pa.Table.from_batches(html_text._features(8)([batch.slice(0, 7), batch.slice(7, 0), batch.slice(7)])).sort_by([("id", "ascending"), ("kind", "ascending"), ("slice", "ascending")])
+    monkeypatch.undo()
+    counts = collections.Counter((k, *f) for key, source in pages for f in html_text.page_features(source) for k in (key, None))
+    want = collections.defaultdict(lambda: [0, 0, 0.0])
+    for (key, i, kind, _), c in counts.items():
+        for k, x in enumerate((c, 1, c * math.log(c))):
+            want[key, i, kind][k] += x
+    for most in (1, 2, 7, 10_000):
+        got = collections.defaultdict(lambda: [0, 0, 0.0])
+        for b in html_text._tally(iter(packed.to_batches(max_chunksize=most))):
+            for r in b.to_pylist():
+                for k, x in enumerate((r["n"], r["styles"], r["clogc"])):
+                    got[r["key"], r["id"], r["kind"]][k] += x
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_style_tree_shuffles_little(spark):
+    """Every word of every text is counted, by host and over all hosts, and goes through the shuffle once, as little more than its hash."""
+    text = lambda i: " ".join(f"{i % 7}x{(i * 977 + k * k) % 100_003}" for k in range(400))
+    pages = spark.createDataFrame([(f"h{i % 5}", f"<body><div>{text(i)}</div></body>") for i in range(200)], "host string, html string")
+    features = len({(r.host, *f) for r in pages.collect() for f in html_text.page_features(r.html)})
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    before = written()
+    assert len(html_text.style_tree(pages).collect()) == 10
+    assert 8 < sum(n for k, n in written().items() if k not in before) / features < 12
+
+
 def brute_importance(pages, by_host=True):
     """The importance of the nodes of pages (host, html), without Spark; hosts are put together if by_host is false."""
     feats = collections.defaultdict(lambda: collections.defaultdict(collections.Counter))

@@ -15,8 +15,11 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
+from array import array
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +31,8 @@ from .urlfilter import host
 #: Importance under which a branch goes, the weight's base, the logarithms' base at most, and the pages that all hosts
 #: together count as.
 LOW, GAMMA, BASE, PRIOR_PAGES = 0.5, 0.9, 32, 8
-#: Features in an Arrow batch, about.
-ROWS = 50_000
+#: Features that a task counts before it hands them on, about; the bytes of pages for a slice of hashes, as a power of two.
+FEATURES, SLICE = 1 << 20, 23
 #: Rows of removed branches that are broadcast at most (a row: host and id); more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 _BLOCK = frozenset(
@@ -210,43 +213,164 @@ def _amount(words: int, links: int) -> str:
     return f"{words.bit_length()} {0 if not links else 1 if 2 * links < words else 2}"
 
 
-def page_features(source: str) -> set[tuple[int, str, int]]:
-    """(id, kind, f) of a page: of each node its style (s: child sequence and amount of text), and of its own texts the
-    amounts (a) and the words (w)."""
-    out: set[tuple[int, str, int]] = set()
+def page_parts(source: str) -> dict[tuple[int, str], set]:
+    """The features of a page by (id, kind): of each node its style (s: child sequence and amount of text) and of its own
+    texts the amounts (a), as hashes, and the words (w), as they are."""
+    out: dict[tuple[int, str], set] = defaultdict(set)
     for n in Page(source, prior=False).nodes[1:]:
         if n.dropped:
             continue
         kids = " ".join(f"{k}*{c.bit_length()}" for k, c in n.kids.items())
-        out.add((_signed(n.id), "s", _hash(f"{kids}|{_amount(n.words, n.links)}")))
+        out[n.id, "s"].add(_hash(f"{kids}|{_amount(n.words, n.links)}"))
         if n.words:
-            out.add((_signed(n.id), "a", _hash(_amount(n.words, n.links))))
+            out[n.id, "a"].add(_hash(_amount(n.words, n.links)))
         for text in n.texts:
-            out |= {(_signed(n.id), "w", _hash(w)) for w in set(text.split())}
+            out[n.id, "w"].update(text.split())
     return out
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, html) to (host, id, kind, f)."""
-    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64()))], ["host", "id", "kind", "f"])
+def page_features(source: str) -> set[tuple[int, str, int]]:
+    """(id, kind, f) of a page, see `page_parts`; f: a hash."""
+    return {(_signed(i), kind, _hash(f) if kind == "w" else f) for (i, kind), found in page_parts(source).items() for f in found}
+
+
+class _Hashes(dict):
+    """The hash of each word, as an unsigned number."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= FEATURES >> 2:
+            self.clear()  # memory stays bounded, however many words there are
+        self[word] = h = _hash(word) & (1 << 64) - 1
+        return h
+
+
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary for each row: the values up to its end."""
+    offsets = np.concatenate(([0], ends)) * values.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
+    return np.flatnonzero(new)
+
+
+#: Features of one node, kind and slice: of each host (key) the number of its features, and of each feature the hash and the pages.
+_PACKED = "id long, kind string, slice int, keys binary, sizes binary, fs binary, cs binary"
+
+
+def _pack(kinds: list[tuple[int, str]], runs: list[tuple[int, int, int]], fs: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Rows of _PACKED for runs (index in kinds, key, number of fs); equal features are counted."""
+    which, key, size = np.array(runs, np.int64).reshape(-1, 3).T
+    names, at = np.unique(key, return_inverse=True)
+    narrow = lambda x: x.astype(np.uint16 if len(x) == 0 or x.max() < 1 << 16 else np.uint32)  # noqa: E731  sorted by counting
+    which, at, part = np.repeat(narrow(which), size), np.repeat(narrow(at), size), narrow(fs >> np.uint64(64 - bits))
+    order = np.lexsort((fs, at, part, which))
+    which, at, part, fs = which[order], at[order], part[order], fs[order]
+    once = _starts(which, at, part, fs)
+    cs = np.diff(np.append(once, len(fs))).astype(np.uint32)
+    which, at, part, fs = which[once], at[once], part[once], fs[once]
+    run, row = _starts(which, part, at), _starts(which, part)
+    ends = np.append(row[1:], len(fs))
+    run_ends = np.searchsorted(run, ends)
+    ids, kind = np.array([_signed(i) for i, _ in kinds], np.int64), pa.array([k for _, k in kinds], pa.string())
+    columns = [
+        pa.array(ids[which[row]]), kind.take(pa.array(which[row])), pa.array(part[row].astype(np.int32)),
+        _packed(names[at[run]], run_ends), _packed(np.diff(np.append(run, len(fs))).astype(np.uint32), run_ends), _packed(fs, ends), _packed(cs, ends),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["id", "kind", "slice", "keys", "sizes", "fs", "cs"])
+
+
+def _features(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key of the host, html) to rows of _PACKED; a feature's slice is its first bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, kinds, runs, fs = _Hashes(), {}, [], array("Q")
+        for b in batches:
+            for key, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for what, found in page_parts(source).items():
+                    runs.append((kinds.setdefault(what, len(kinds)), key, len(found)))
+                    fs.extend(map(hashes.__getitem__, found) if what[1] == "w" else (f & (1 << 64) - 1 for f in found))
+                if len(fs) >= FEATURES:
+                    yield _pack(list(kinds), runs, np.array(fs, np.uint64), bits)
+                    kinds, runs, fs = {}, [], array("Q")
+        if runs:
+            yield _pack(list(kinds), runs, np.array(fs, np.uint64), bits)
+
+    return run
+
+
+def _sums(b: pa.Table) -> pa.RecordBatch:
+    """Rows of _PACKED, all of each (id, kind, slice), to (key, id, kind, n, styles, clogc): of a host, and of all (key null).
+
+    n: the sum of the features' pages; styles: the number of features; clogc: the sum of c log c of their pages c.
+    """
+    b = b.combine_chunks()
+    join = lambda name, kind: np.frombuffer(b"".join(b.column(name).to_pylist()), kind)
+    keys, sizes, fs, cs = join("keys", np.int64), join("sizes", np.uint32), join("fs", np.uint64), join("cs", np.uint32).astype(np.int64)
+    ids, kinds = b.column("id").to_numpy(), np.array(b.column("kind").to_pylist())
+    node = np.zeros(len(ids), np.int64)  # of a row: which (id, kind); they are sorted
+    node[1:] = np.cumsum((ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1]))
+    first = _starts(node)
+    node = np.repeat(node, np.array([len(x) // 8 for x in b.column("fs").to_pylist()], np.int64))
+    key = np.repeat(keys, sizes)
+    order = np.lexsort((key, fs, node))
+    node, key, fs, cs = node[order], key[order], fs[order], cs[order]
+    out = []
+    for columns in ((node, fs, key), (node, fs)):  # of each host, and of all
+        at = _starts(*columns)
+        c, group = np.add.reduceat(cs, at), [x[at] for x in (columns[0], *columns[2:])]
+        if len(group) > 1:
+            order = np.lexsort(group[::-1])
+            c, group = c[order], [x[order] for x in group]
+        at = _starts(*group)
+        of = first[group[0][at]]
+        hosts = pa.array(group[1][at]) if len(group) > 1 else pa.nulls(len(at), pa.int64())
+        out.append([hosts, pa.array(ids[of]), pa.array(kinds[of].tolist(), pa.string()), pa.array(np.add.reduceat(c, at)), pa.array(np.diff(np.append(at, len(c)))), pa.array(np.add.reduceat(c * np.log(c), at))])
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*out, strict=True)], ["key", "id", "kind", "n", "styles", "clogc"])
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_sums of sorted rows of _PACKED, in batches of any size."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        rows: list[tuple] = []
-        for where, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            rows += ((where, *x) for x in page_features(source))
-            if len(rows) >= ROWS:
-                yield batch(rows)
-                rows = []
-        yield batch(rows)
+        if not b.num_rows:
+            continue
+        last = [b.column(k)[b.num_rows - 1].as_py() for k in range(3)]
+        begin = b.num_rows - 1  # of the last (id, kind, slice), which may go on in the next batch
+        while begin and [b.column(k)[begin - 1].as_py() for k in range(3)] == last:
+            begin -= 1
+        if begin or held and [held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in range(3)] != last:
+            yield _sums(pa.Table.from_batches([*held, b.slice(0, begin)]))
+            held = []
+        held.append(b.slice(begin))
+    if held:
+        yield _sums(pa.Table.from_batches(held))
+
+
+def sums(pages: DataFrame) -> DataFrame:
+    """(key, id, kind, n, styles, clogc) of the nodes of hosts, and of all hosts together (key null), for pages (host, html).
+
+    key: the host's hash. Each feature goes through the shuffle once, as its hash in a binary of its node and slice of
+    hashes, so that what a host's pages and what all pages tell is counted in one place; slices keep binaries small.
+    """
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    bits = min(max((size >> SLICE).bit_length(), 8), 16)
+    found = pages.select(F.xxhash64("host").alias("key"), "html").mapInArrow(_features(bits), _PACKED)
+    found = found.repartition("id", "kind", "slice").sortWithinPartitions("id", "kind", "slice")
+    found = found.mapInArrow(_tally, "key long, id long, kind string, n long, styles long, clogc double")
+    return found.groupBy("key", "id", "kind").agg(*(F.sum(c).alias(c) for c in ("n", "styles", "clogc")))
 
 
-def importance(counts: DataFrame, *by: str) -> DataFrame:
-    """(by, n_pages, importance) of nodes, from counts (by, kind, f, c: pages that have the feature).
+def importance(each: DataFrame, *by: str) -> DataFrame:
+    """(by, n_pages, importance) of nodes, from sums (by, kind, n, styles, clogc) over their features.
 
     Presentation: the entropy of a node's styles. Content: one minus the mean entropy of its features over pages, of
     amounts and of words alike. Logarithms are to the base of the node's pages, of at most BASE. A node with many styles
     is told by its presentation, one with few by its content.
     """
-    each = counts.groupBy(*by, "kind").agg(F.sum("c").alias("n"), F.count("*").alias("styles"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     node = each.groupBy(*by).agg(*(F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}") for k in "saw" for c in ("n", "styles", "clogc")))
     m = F.col("s_n").cast("double")
     base = F.log(F.least(F.greatest(m, F.lit(2.0)), F.lit(float(BASE))))
@@ -258,16 +382,17 @@ def importance(counts: DataFrame, *by: str) -> DataFrame:
     return node.select(*by, F.col("s_n").alias("n_pages"), F.when(m <= 1, 1.0).otherwise((1 - weight) * shape + weight * told).alias("importance"))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
+def style_tree(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(host, id, n_pages, importance) of the nodes of each host's merged tree, for pages (host, html).
 
     What a host's pages tell is joined with what the same node of all hosts tells, which counts as PRIOR_PAGES pages:
-    so a host with few pages borrows from the others, and one page alone tells nothing.
+    so a host with few pages borrows from the others, and one page alone tells nothing. The nodes are written to the
+    scratch tables, if there are any, so that they are not found twice.
     """
-    found = pages.mapInArrow(_features, "host string, id long, kind string, f long")
-    counts = found.groupBy("host", "id", "kind", "f").agg(F.count("*").alias("c"))
-    own = importance(counts, "host", "id")
-    everywhere = importance(counts.groupBy("id", "kind", "f").agg(F.sum("c").alias("c")), "id").select("id", F.col("importance").alias("all"))
+    nodes = importance(sums(pages), "key", "id")
+    nodes = scratch.put(nodes, "nodes") if scratch else nodes
+    own = nodes.join(pages.select("host").distinct().withColumn("key", F.xxhash64("host")), "key")
+    everywhere = nodes.where("key IS NULL").select("id", F.col("importance").alias("all"))
     seen = F.col("n_pages") - 1
     return own.join(everywhere, "id").select("host", "id", "n_pages", ((seen * F.col("importance") + PRIOR_PAGES * F.col("all")) / (seen + PRIOR_PAGES)).alias("importance"))
 
@@ -289,8 +414,9 @@ def extract(scratch: Scratch, pages: DataFrame, url_col: str = "url", html_col:
     pages = pages.drop("text", "_host", "_low", "_key")
     with_host = pages.withColumn("_host", F.coalesce(host(F.col(url_col)), F.lit("")))
     source = F.coalesce(html_col, F.lit(""))
-    tree = style_tree(with_host.select(F.col("_host").alias("host"), source.alias("html")))
+    tree = style_tree(with_host.select(F.col("_host").alias("host"), source.alias("html")), scratch)
     low = scratch.put(tree.where(F.col("importance") < LOW).select("host", "id"), "low")
+    scratch.drop("nodes")
     if low.count() <= BROADCAST_ROWS:
         by_host = low.groupBy(F.col("host").alias("_host")).agg(F.collect_set("id").alias("_low"))
         with_low = with_host.join(F.broadcast(by_host), "_host", "left")
