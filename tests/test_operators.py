@@ -16,6 +16,7 @@ from wrenfold.functions import similarity as S
 from wrenfold.functions import text as T
 from wrenfold.operators import billing, classify, compliance, dedup, rules, summary, throttle, verify
 from wrenfold.plans import pipeline as PL
+from wrenfold.plans import registry
 from wrenfold.sources import tables
 
 C = F.col
@@ -310,6 +311,18 @@ def test_phone_with_the_library(spark, monkeypatch):
     assert PL.reconciled(result.report).first().balanced and [r.record_id for r in result.clean.collect()] == ["b"]
 
 
+def test_strict_batches_of_any_size(spark, monkeypatch):
+    """A strict run that sets no limit takes more records than a batch; the limit is still the default. The query sets none."""
+    df = spark.range(PL.BATCH_LIMIT + 1).select(C("id").alias("_row_idx"), C("id").cast("string").alias("id"), F.concat(F.lit("u"), C("id") % 7, F.lit("@acme.org")).alias("email"))
+    with pytest.raises(ValueError):
+        PL.run(df, PL.Options("t", b"p" * 32, strict=True))
+    seen = PL.run(df, PL.Options("t", b"p" * 32, strict=True, limit=None))
+    r = seen.report.first()
+    assert (r.total_records, r.clean_records_count, r.duplicates_removed) == (20_001, 7, 19_994) and seen.clean.count() == 7
+    monkeypatch.setattr(registry, "contacts", lambda *_: df.withColumns({k: F.lit(None).cast("string") for k in ("name", "phone", "address", "company", "bio")}))
+    assert registry.QUERIES["pipeline_strict"](spark, "").count() == 7
+
+
 def test_blocks_of_any_size(spark):
     names = ["".join(chr(97 + (i * k) % 7) for k in range(1, 9)) for i in range(1300)]
     df = spark.createDataFrame([(i, str(i), n, "b" if i % 3 else "c") for i, n in enumerate(names)], "_row_idx long, id string, name string, block string")

@@ -24,9 +24,16 @@ from ..sources.staging import staged
 from ..sources.tables import export
 
 
+# Fixed value: records of a batch in strict mode; otherwise there is no limit.
+BATCH_LIMIT = 20_000
+
+
 @dataclass(frozen=True)
 class Options:
-    """strict: the observed chain (drops and throttles keep the record, copies go by id, no audit) instead of what is meant."""
+    """strict: the observed chain (drops and throttles keep the record, copies go by id, no audit) instead of what is meant.
+
+    limit: records of a batch in strict mode; None: any number.
+    """
 
     tenant_id: str
     pepper: bytes
@@ -34,6 +41,7 @@ class Options:
     region: str | None = "IN"
     tokens: int = int(BUCKET_CAPACITY)
     strict: bool = False
+    limit: int | None = BATCH_LIMIT
     batch_id: str | None = None
     previous: str | None = None
 
@@ -59,8 +67,6 @@ class Result:
         return self._finished[1]
 
 
-# Fixed value: records of a batch in strict mode; otherwise there is no limit.
-BATCH_LIMIT = 20_000
 FIELDS = ("email", "name", "phone", "address", "company", "bio")
 
 
@@ -108,8 +114,8 @@ def run(df: DataFrame, options: Options, mx: DataFrame | None = None) -> Result:
     """Records (with _row_idx) come out once: clean, or counted by the report."""
     o, began, spark = options, time.monotonic(), df.sparkSession
     Tenant(o.tenant_id)
-    if o.strict and df.limit(BATCH_LIMIT + 1).count() > BATCH_LIMIT:
-        raise ValueError(f"a batch has at most {BATCH_LIMIT} records in strict mode")
+    if o.strict and o.limit is not None and df.limit(o.limit + 1).count() > o.limit:
+        raise ValueError(f"a batch has at most {o.limit} records in strict mode")
     mx = spark.createDataFrame([], MX_SCHEMA) if mx is None else mx
     # each step is read several times (by the join that hands back firsts, the report, the audit): it is made once
     flow = staged(normalized(df).withColumn("_fp", optional_fingerprint(F.col("email"), tenant_key(o.tenant_id, o.pepper))), "normalized")

@@ -631,8 +631,8 @@ PIPELINE_RULES = [
 ]
 
 
-def _options(strict: bool = False, tokens: int = 1_000_000) -> PL.Options:
-    return PL.Options(TENANT, PEPPER, PIPELINE_RULES, tokens=tokens, strict=strict, batch_id="b")
+def _options(strict: bool = False, tokens: int = 1_000_000, limit: int | None = PL.BATCH_LIMIT) -> PL.Options:
+    return PL.Options(TENANT, PEPPER, PIPELINE_RULES, tokens=tokens, strict=strict, limit=limit, batch_id="b")
 
 
 _NORM = f"(SELECT _row_idx, id AS record_id, {D.normalized_email('email')} AS email, nullif({D.phone('phone')}, '') AS phone, nullif({D.company('company')}, '') AS company, nullif(concat_ws(' ', nullif({D.first_name(_PARTS)}, ''), nullif({D.last_name(_PARTS)}, '')), '') AS contact_name FROM contacts)"
@@ -661,7 +661,7 @@ query(
 )(lambda spark, d: PL.run(contacts(spark, d), _options(tokens=200), mx(spark, d)).report.drop("processing_time_ms"))
 query("agg6", "SELECT count(*) AS total_records, count(*) AS accounted, true AS balanced FROM contacts")(lambda spark, d: PL.reconciled(PL.run(contacts(spark, d), _options(tokens=200), mx(spark, d)).report))
 query("pipeline_strict", f"SELECT record_id, email, risk_score, CASE WHEN NOT dropped THEN CASE WHEN {_REVIEW} THEN 'REVIEW' ELSE '' END END AS rule_flags, mx NOT IN ('NO_MX_RECORD', 'DNS_ERROR') AS email_valid_syntax FROM {_flow(True)} WHERE NOT dup" if _NO_LIB else None)(
-    lambda spark, d: PL.run(contacts(spark, d), _options(True), mx(spark, d)).clean.select("record_id", "email", "risk_score", F.array_join("rule_flags", "|").alias("rule_flags"), "email_valid_syntax")
+    lambda spark, d: PL.run(contacts(spark, d), _options(True, limit=None), mx(spark, d)).clean.select("record_id", "email", "risk_score", F.array_join("rule_flags", "|").alias("rule_flags"), "email_valid_syntax")
 )
 _REPORT = (
     f"count(*) AS total_records, {_N} (NOT dup AND NOT dropped) AS clean_records_count, {_N} (dup) AS duplicates_removed, {_N} (NOT dup AND NOT ok) AS invalid_emails, {_N} (NOT dup AND phone IS NULL) AS invalid_phones, "
