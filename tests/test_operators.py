@@ -331,6 +331,21 @@ def test_blocks_of_any_size(spark):
     assert got == want and len(want) > 1000
 
 
+def test_pairs_of_many_cells(spark, monkeypatch):
+    """Cells worked on together, of one part and of two, with names that many records have: as plain loops do it. The query takes blocks over 500."""
+    monkeypatch.setattr(dedup, "PART", 40)
+    names = [*("".join(chr(97 + (i * k) % 5) for k in range(1, 3 + i % 9)) for i in range(240)), "same name", "Same Name", "é😀 name", "", "y" * 201, None, "x" * 200, "x" * 199]
+    rows = [(i, str(i), names[i * 7 % len(names)], f"b{i % 3 if i % 2 else i % 50}") for i in range(700)]
+    got = sorted((int(r.id_a), int(r.id_b), r.score) for r in dedup.similar_pairs(spark.createDataFrame(rows, "_row_idx long, id string, name string, block string"), size=None).collect())
+    fine = [(i, b, n.lower()) for i, _, n, b in rows if n and len(n) <= 200]
+    want = [(i, j, S.jaro_winkler_of(m, n)) for i, b, m in fine for j, c, n in fine if i < j and b == c and S.jaro_winkler_of(m, n) >= 0.9]
+    assert got == want and len(want) > 500
+    monkeypatch.setattr(dedup, "PART", 512)
+    part = spark.range(501).select((C("id") * 13).alias("p_partkey"), F.lit("a").alias("p_name"), F.lit("b").alias("p_type"), F.lit("c").alias("p_brand"), F.lit(1).alias("p_size"))
+    monkeypatch.setattr(registry, "read", lambda *_: part)
+    assert registry.QUERIES["jon5"](spark, "").count() == 501 * 500 // 2
+
+
 def test_spreadsheet(spark, tmp_path):
     df = spark.createDataFrame([(1, "a & <b>", 1.5, True), (2, None, None, None), (-3, " é\n", 2.0, False)], "k long, t string, x double, f boolean")
     tables.write_excel(df, f"file://{tmp_path}/s.xlsx")

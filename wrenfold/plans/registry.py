@@ -350,7 +350,7 @@ def _parts(spark, d):
 
 _PAIRS = "(SELECT p_partkey AS k, p_name || ' ' || p_type AS name, concat_ws(':', CAST(p_size AS VARCHAR), p_brand, CAST(p_partkey % 13 AS VARCHAR)) AS block FROM part)"
 query("jon5", f"SELECT CAST(a.k AS VARCHAR) AS id_a, CAST(b.k AS VARCHAR) AS id_b, round(jaro_winkler_similarity(lower(a.name), lower(b.name)), 6) AS score FROM {_PAIRS} a JOIN {_PAIRS} b ON a.block = b.block AND a.k < b.k WHERE jaro_winkler_similarity(lower(a.name), lower(b.name)) >= 0.9 AND length(a.name) BETWEEN 1 AND 200 AND length(b.name) BETWEEN 1 AND 200", False)(
-    lambda spark, d: dedup.similar_pairs(_parts(spark, d)).withColumn("score", F.round("score", 6))
+    lambda spark, d: dedup.similar_pairs(_parts(spark, d), size=None).withColumn("score", F.round("score", 6))
 )
 over_contacts("jon6", lambda: {"known": E.syntax(C("email"))["domain"].isin(*V.DISPOSABLE, *V.SPAM_TRAPS)}, {"known": f"({_D}) IN {D.listed([*V.DISPOSABLE, *V.SPAM_TRAPS])}"})
 over_contacts("dup2", lambda: {"fp": H.fingerprint(C("id"), KEY)}, {"fp": D.hmac("id", KEY)})
