@@ -15,6 +15,7 @@ from wrenfold.functions import risk as R
 from wrenfold.functions import similarity as S
 from wrenfold.functions import text as T
 from wrenfold.operators import billing, classify, compliance, dedup, rules, summary, throttle, verify
+from wrenfold.operators.contacts import contacts
 from wrenfold.plans import pipeline as PL
 from wrenfold.plans import registry
 from wrenfold.sources import tables
@@ -346,6 +347,15 @@ def test_pairs_of_many_cells(spark, monkeypatch):
     assert registry.QUERIES["jon5"](spark, "").count() == 501 * 500 // 2
 
 
+def test_contacts_in_tasks_by_rows(spark, tmp_path):
+    """Many rows in one small file are several tasks' work, and stay what they are; few rows stay one task's."""
+    for n, tasks in ((20_000, 3), (500, 1)):
+        k = F.col("id")
+        spark.range(n).select(k.alias("c_custkey"), F.lit("n").alias("c_name"), F.lit(1).alias("c_nationkey"), F.lit(1.5).alias("c_acctbal")).coalesce(1).write.parquet(f"{tmp_path}/{n}/customer.parquet")
+        got = contacts(spark, f"{tmp_path}/{n}").withColumn("task", F.spark_partition_id()).agg(F.count("*").alias("n"), F.count_distinct("_row_idx").alias("rows"), F.count_distinct("task").alias("tasks")).first()
+        assert (got.n, got.rows, got.tasks) == (n, n, tasks)
+
+
 def test_spreadsheet(spark, tmp_path):
     df = spark.createDataFrame([(1, "a & <b>", 1.5, True), (2, None, None, None), (-3, " é\n", 2.0, False)], "k long, t string, x double, f boolean")
     tables.write_excel(df, f"file://{tmp_path}/s.xlsx")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.staging import dealt
+
 
 def _pick(key: str, values: list[str | None]) -> str:
     arms = " ".join(f"WHEN {i} THEN {'NULL' if v is None else chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39)}" for i, v in enumerate(values))
@@ -35,4 +37,5 @@ FROM customer
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CONTACTS.replace("FROM customer", "FROM {customer}").replace("elm AVE {rear}", "elm AVE {{rear}}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    customer = dealt(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey")
+    return spark.sql(CONTACTS.replace("FROM customer", "FROM {customer}").replace("elm AVE {rear}", "elm AVE {{rear}}"), customer=customer)

@@ -20,7 +20,7 @@ from ..operators.dedup import duplicate_ids, keep_first
 from ..operators.rules import run_rules
 from ..operators.throttle import throttle_burst
 from ..operators.verify import MX_SCHEMA, verify
-from ..sources.staging import staged
+from ..sources.staging import dealt, staged
 from ..sources.tables import export
 
 
@@ -119,31 +119,35 @@ def run(df: DataFrame, options: Options, mx: DataFrame | None = None) -> Result:
     mx = spark.createDataFrame([], MX_SCHEMA) if mx is None else mx
     # each step is read several times (by the join that hands back firsts, the report, the audit): it is made once
     flow = staged(normalized(df).withColumn("_fp", optional_fingerprint(F.col("email"), tenant_key(o.tenant_id, o.pepper))), "normalized")
+    total = flow.count()
     if o.strict:
         gone = duplicate_ids(flow, "_fp", "record_id")
         removed = gone.count()
         flow = flow.join(gone.withColumn("_dup", F.lit(True)), "record_id", "left").withColumn("_dup", F.coalesce("_dup", F.lit(False)))
     else:
         flow = keep_first(flow, F.col("_fp"), "_row_idx", "_dup")
-    before = staged(scored(formatted(checked(flow.drop("_fp"), o.tenant_id, mx, o.strict), o.region), o.strict), "scored")
+    # nothing is asked of duplicates but their number, so they go no further; the rest is dealt out again, as few may be left in a part
+    first = dealt(staged(flow.where(~F.col("_dup")).drop("_fp", "_dup"), "firsts"), "_row_idx")
+    if not o.strict:
+        removed = total - first.count()
+    before = staged(scored(formatted(checked(first, o.tenant_id, mx, o.strict), o.region), o.strict), "scored")
     flow = run_rules(before.withColumn("id", F.col("record_id")), o.rules, o.tenant_id, keep_dropped=True)
-    alive = ~F.col("_dup") & ~F.col("_failed")
-    lost = ~F.col("_dup") & F.col("_failed")
+    alive, lost = ~F.col("_failed"), F.col("_failed")
     if o.strict:  # a dropped record stays as it was before the rules; so the rules' own columns are null
         kept = flow.where(alive & ~F.col("is_dropped"))
         dropped = before.join(flow.where(alive & F.col("is_dropped")).select("_row_idx"), "_row_idx", "left_semi")
-        clean = kept.unionByName(dropped, allowMissingColumns=True).drop("_dup", "_failed", "is_dropped", "errors")
+        clean = kept.unionByName(dropped, allowMissingColumns=True).drop("_failed", "is_dropped", "errors")
     else:
         clean = throttle_burst(flow.where(alive & ~F.col("is_dropped")).withColumn("_tenant", F.lit(o.tenant_id)), "_tenant", "_row_idx", o.tokens).where(~F.col("is_throttled"))
-        clean = clean.drop("_tenant", "_dup", "_failed", "is_dropped", "is_throttled", "throttle_tag", "_meta_throttled", "errors")
+        clean = clean.drop("_tenant", "_failed", "is_dropped", "is_throttled", "throttle_tag", "_meta_throttled", "errors")
     passed = alive & ~F.col("is_dropped")
     n = lambda c: F.count_if(c)
     report = flow.agg(
-        F.count("*").alias("total_records"), n(passed).alias("passed"), n(F.col("_dup")).alias("duplicates_removed"), n(alive & ~F.col("email_valid_syntax")).alias("invalid_emails"),
+        F.lit(total).cast("long").alias("total_records"), n(passed).alias("passed"), F.lit(removed).cast("long").alias("duplicates_removed"), n(alive & ~F.col("email_valid_syntax")).alias("invalid_emails"),
         n(alive & F.col("phone").isNull()).alias("invalid_phones"), n(alive & (F.col("risk_score") >= HIGH_RISK)).alias("high_risk_flags"), n(alive & F.col("is_dropped")).alias("dropped_via_rules"), n(alive).alias("alive"), n(lost).alias("dlq_count"),
     )
     if o.strict:
-        report = report.withColumns({"duplicates_removed": F.lit(removed).cast("long"), "clean_records_count": F.col("alive"), "throttled_count": F.lit(0).cast("long"), "dropped_via_rules": F.lit(0).cast("long")})
+        report = report.withColumns({"clean_records_count": F.col("alive"), "throttled_count": F.lit(0).cast("long"), "dropped_via_rules": F.lit(0).cast("long")})
     else:
         report = report.withColumns({"clean_records_count": F.least("passed", F.lit(o.tokens).cast("long")), "throttled_count": F.greatest(F.col("passed") - o.tokens, F.lit(0).cast("long"))})
     # fields that can't be cleaned are empty and listed in errors; a record at which a library fails is dead, a stage that

@@ -18,7 +18,7 @@ from ..functions import vocab as V
 from ..operators import billing, classify, compliance, dedup, relations, rules, summary, throttle, verify
 from ..operators.contacts import CONTACTS, contacts
 from ..sources import tables
-from ..sources.staging import new_path
+from ..sources.staging import new_path, staged
 from ..streaming.bucket import throttled_stream
 from . import duck as D
 from . import pipeline as PL
@@ -52,7 +52,8 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def mx(spark: SparkSession, d: str, corrected: bool = True) -> DataFrame:
     """The table of exchangers that queries use in place of a resolver; corrected: with the providers, too."""
-    domains = contacts(spark, d).select(E.syntax(F.col("email"))["domain"].alias("domain")).where("domain IS NOT NULL").distinct()
+    # staged before the filter: Spark would work out a filter on the domain below the shuffle, in the few tasks of the file
+    domains = staged(contacts(spark, d).select(E.syntax(F.col("email"))["domain"].alias("domain")).distinct(), "domains").where("domain IS NOT NULL")
     if corrected:
         domains = domains.union(spark.createDataFrame([(p,) for p in V.PROVIDERS], "domain string")).distinct()
     tag = F.when(F.col("domain").endswith(".tk"), "NO_MX_RECORD").when(F.col("domain").endswith(".org"), "DNS_TIMEOUT").otherwise("VALID_SYNTAX")
